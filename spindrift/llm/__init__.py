@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "mixing",
+    "html_text",
     "quality_rules",
     "packing",
 )
