@@ -8,6 +8,7 @@ MODULES = (
     "mixing",
     "html_text",
     "quality_rules",
+    "secret_scan",
     "packing",
 )
 
