@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "mixing",
     "html_text",
+    "license_scan",
     "quality_rules",
     "secret_scan",
     "packing",
