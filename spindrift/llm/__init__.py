@@ -8,6 +8,7 @@ MODULES = (
     "mixing",
     "html_text",
     "license_scan",
+    "line_dedup",
     "near_dedup",
     "quality_rules",
     "secret_scan",
