@@ -8,9 +8,10 @@
     chance agreement of the low bits, from bit counts of their exclusive or; clear non-neighbours go.
 3.  The others are confirmed on full shingle sets: each node's most similar link first, then those
     that still join two components.
-4.  Band groups that still hold several components are compared in blocks of bounded size, each
-    pair of different components by its signatures, and what may be a link is confirmed on full
-    sets. So a link that runs past the group's smallest node is not lost.
+4.  What shares band keys, directly or through others, is a family. In families that still hold
+    several components, the nodes outside the largest one meet all others in blocks of bounded
+    size: signatures choose, full sets confirm within the task, and only links that join two
+    components leave it. So a link that runs past a group's smallest node is not lost.
 
 A link of the least similarity misses all 32 bands with probability 5e-8 and is estimated too low
 with less than 1e-8. Components need no pairs, only a link to each new member; copies and near
@@ -32,7 +33,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +46,7 @@ PERMUTATIONS = BANDS * ROWS
 SIMILARITY = 80  # percent
 #: Six standard deviations of the estimate below the least similarity.
 ESTIMATE = 0.58
-#: Nodes in one side of a block of comparisons (step 4).
+#: Nodes in a block of comparisons (step 4); 64 times as many shingles.
 BLOCK = 1024
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 2**63, size=PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,29 +168,69 @@ def _labelled(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of different components within band groups that may be links.
+def _links_between(left, right, percent: int) -> list[tuple[int, int]]:
+    """Links that join different components of two blocks (nodes, components, signatures, shingles,
+    bounds). Estimates choose the rows; their common shingles with every node of ``right`` are
+    counted at once from an inverted index. A pair of components is reported once."""
+    (n, c, s, flat, at), (n2, c2, s2, flat2, at2) = left, right
+    order = np.argsort(flat2, kind="stable")
+    sorted2, owner = flat2[order], np.repeat(np.arange(len(n2)), np.diff(at2))[order]
+    size2, seen, out = np.diff(at2), set(), []
+    for i in range(len(n)):
+        near = (c2 != c[i]) & (estimates(s[i : i + 1], s2)[0] >= ESTIMATE)
+        if not near.any():
+            continue
+        own = flat[at[i] : at[i + 1]]
+        lo, hi = np.searchsorted(sorted2, own, "left"), np.searchsorted(sorted2, own, "right")
+        lengths = hi - lo
+        places = np.repeat(lo - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        common = np.bincount(owner[places], minlength=len(n2))
+        for j in np.flatnonzero(near & (100 * common >= percent * (len(own) + size2 - common))):
+            key = (min(c[i], c2[j]), max(c[i], c2[j]))
+            if key not in seen:
+                seen.add(key)
+                out.append((n[i], n2[j]))
+    return out
+
 
-    A group's members are dealt into blocks; a row per pair of blocks holds the blocks' signatures.
+def _across(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components of one candidate group (node, family, component, signature, n).
+
+    All links between components have an end outside the group's largest component. Such nodes,
+    in blocks, meet all nodes of their group, in blocks; a block's size is bounded in nodes and in
+    shingles. Only links that are confirmed and join two components leave a task.
     """
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))).cast("int"))
-    packed = cut_table(blocks.groupBy("band", "block").agg(F.collect_list(F.struct("node", "component", "signature")).alias("held")))
-    other = packed.select("band", F.col("block").alias("block_2"), F.col("held").alias("held_2"))
-    both = packed.join(other, "band").filter("block <= block_2").select("held", "held_2")
+    sets = sets_of(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size).dropDuplicates(["node"])
+    held = cut_table(nodes.join(sets, "node"))
+    counted = held.groupBy("family", "component").agg(F.count("*").alias("m"))
+    largest = counted.groupBy("family").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest"))
+    held = held.join(largest, "family")
+
+    def packed(df: DataFrame, most: int, names: list[str]) -> DataFrame:
+        total = df.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / (64 * most)), F.lit(1)).alias("blocks"))
+        dealt = df.join(total, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
+        row = F.struct("node", "component", "signature", "shingles")
+        return dealt.groupBy("family", "block").agg(F.collect_list(row).alias("rows")).select("family", F.col("rows").alias(names[0]))
+
+    both = packed(held.filter("component <> largest"), BLOCK // 4, ["outside"]).join(packed(held, BLOCK, ["inside"]), "family").select("outside", "inside")
+    both = both.repartition(F.xxhash64(F.expr("outside[0].node"), F.expr("inside[0].node")))
+
+    def block(column: pa.ListArray, k: int):
+        rows = column[k].values
+        flat = rows.field("shingles")
+        flat = flat.flatten() if len(flat) else flat.values
+        counts = rows.field("shingles").value_lengths().to_numpy()
+        signature = rows.field("signature").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+        return rows.field("node").to_numpy(), rows.field("component").to_numpy(), signature, flat.to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(counts)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held, held_2 in zip(batch["held"], batch["held_2"], strict=True):
-                columns = []
-                for side in (held, held_2):
-                    columns.append((np.array([r["node"] for r in side]), np.array([r["component"] for r in side]), np.array([r["signature"] for r in side], dtype=np.int64).view(np.uint64)))
-                (n, c, s), (n2, c2, s2) = columns
-                for at in range(0, len(n), 128):
-                    i, j = np.nonzero((c[at : at + 128, None] != c2[None, :]) & (estimates(s[at : at + 128], s2) >= ESTIMATE))
-                    yield pd.DataFrame({"a": np.minimum(n[at + i], n2[j]), "b": np.maximum(n[at + i], n2[j])})
+            for k in range(batch.num_rows):
+                found = _links_between(block(batch.column(0), k), block(batch.column(1), k), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.column(0).type.value_type.field("node").type) for i in (0, 1)], ["a", "b"])
 
-    kind = members.schema["node"].dataType.simpleString()
-    return both.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    kind = nodes.schema["node"].dataType.simpleString()
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_groups(docs: DataFrame, size: int, percent: int = SIMILARITY) -> DataFrame:
@@ -198,14 +238,13 @@ def near_groups(docs: DataFrame, size: int, percent: int = SIMILARITY) -> DataFr
     docs = docs.select("doc_id", "text")
     sketches = cut_table(sketch(docs, size))
     some = sketches.filter("n_shingles > 0 and doc_id is not null")
-    nodes = cut_table(some.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    nodes = cut_table(some.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
     signatures = nodes.select("node", "signature")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    members = cut_table(banded.join(groups, "band"))
-    pairs = members.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    signed = pairs.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
+    groups = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1")
+    candidates = cut(banded.join(groups, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    signed = candidates.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
     pairs = cut(signed.withColumn("similar", estimate(F.col("sa"), F.col("sb"))).filter(F.col("similar") >= ESTIMATE).select("a", "b", "similar"))
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("similar", -F.col("b"))).alias("b"))
@@ -214,12 +253,11 @@ def near_groups(docs: DataFrame, size: int, percent: int = SIMILARITY) -> DataFr
     rest = _labelled(pairs.join(best, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_in <> b_in").select("a", "b")
     links = cut(links.union(confirm(cut(rest), docs, size, percent)))
     labels = components(links)
-    placed = members.select("band", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    open_ = placed.join(mixed, "band").join(signatures, "node")
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = cut(_across(open_).join(tested, ["a", "b"], "left_anti"))
-    links = links.union(confirm(across, docs, size, percent))
+    families = components(candidates).select("node", F.col("component").alias("family"))
+    placed = families.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family")
+    open_ = cut(placed.join(several, "family").join(nodes.select("node", "signature", "n"), "node"))
+    links = links.union(cut(_across(open_, docs, size, percent)))
     labels = components(cut(links))
 
     copies = nodes.select("key_1", "key_2", "node")
