@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "mixing",
     "html_text",
+    "learned_search",
     "license_scan",
     "line_dedup",
     "near_dedup",
