@@ -12,6 +12,7 @@ MODULES = (
     "line_dedup",
     "near_dedup",
     "quality_rules",
+    "repeats",
     "secret_scan",
     "packing",
 )
