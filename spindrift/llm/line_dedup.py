@@ -15,7 +15,8 @@ earlier line is that similar, whether that one stays or not). Lines without a wo
 4.  Families of similar lines don't meet pair by pair: each line is first held against the earliest
     line that shares one of its three rarest tokens. Only lines that find no match there are the
     later side in the join of step 3.
-5.  Candidates are confirmed on their full token sets.
+5.  Candidates that differ in too many bits of a 64-bit parity of their tokens can't be similar;
+    the others are confirmed on their full token sets.
 
 Defined results
     null or empty text      no lines with a word, nothing removed
@@ -74,6 +75,17 @@ def _similar(x: str, y: str) -> Column:
     return 5 * common >= 4 * (F.size(x) + F.size(y) - common)
 
 
+def _parity(tokens: Column) -> Column:
+    """64 bits, each whether an odd number of tokens falls on it: sets that differ in d tokens differ in d bits at most."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _possible(x: Column, y: Column) -> Column:
+    """Whether two lines (n, parity) can be similar: their sizes, and the bits in which they differ."""
+    n = x["n"] + y["n"]
+    return (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & (F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= n - 2 * _least(n, 4, 9))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     """Of pairs (later, earlier) of places, the later places of those that are similar."""
     places = cut(pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct())
@@ -91,35 +103,40 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rarity(known)
     tokens = lines_of(known).select("doc_id", "line_no", _tokens(F.col("line"), classes).alias("t")).withColumn("n", F.size("t"))
     prefix = F.when(F.col("n") > 3, F.slice("t", 1, F.col("n") - _least(F.col("n"), 4, 5) + 1))  # up to 3: only equal sets are similar
-    lines = cut_table(tokens.select(F.struct("doc_id", "line_no").alias("at"), "n", F.xxhash64("t").alias("set_1"), F.xxhash64(F.lit(1), "t").alias("set_2"), prefix.alias("prefix")))
-
-    firsts = lines.groupBy("set_1", "set_2").agg(F.min("at").alias("first"), F.count("*").alias("copies"))
-    repeated = lines.join(firsts.filter("copies > 1"), ["set_1", "set_2"]).filter("at <> first").select("at")
-    repeated = cut(repeated.distinct())
-    single = lines.filter("n > 3").select("at", "n", "prefix").join(repeated, "at", "left_anti")
-
-    rows = cut_table(single.select("at", "n", F.posexplode("prefix").alias("pos", "token")))
-    near = rows.filter("pos < 3")
-    hubs = near.groupBy("token").agg(F.min("at").alias("earlier"), F.count("*").alias("m")).filter("m > 1")
-    by_hub = near.join(hubs, "token").filter("earlier < at").select(F.col("at").alias("later"), "earlier").distinct()
-    matched = cut(_confirm(by_hub, known, classes))
-
-    flagged = rows.join(matched.withColumn("matched", F.lit(True)), rows["at"] == F.col("later"), "left").select("at", "n", "pos", "token", F.col("matched").isNull().alias("open"))
-    smaller = flagged.filter(F.col("pos") <= F.col("n") - _least(F.col("n"), 8, 9)).toDF("at_y", "n_y", "pos_y", "token", "open_y")
-    larger = flagged.toDF("at_x", "n_x", "pos_x", "token_x", "open_x")
-    needed = _least(F.col("n_x") + F.col("n_y"), 4, 9)
+    lines = cut_table(tokens.select(F.struct("doc_id", "line_no").alias("at"), "n", F.xxhash64("t").alias("set_1"), F.xxhash64(F.lit(1), "t").alias("set_2"), _parity(F.col("t")).alias("parity"), prefix.alias("prefix")))
+
+    firsts = lines.groupBy("set_1", "set_2").agg(F.min("at").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    repeated = cut(lines.select("at", "set_1", "set_2").join(firsts, ["set_1", "set_2"]).filter("at <> first").select("at").distinct())
+
+    # Families: the earliest line that shares one of the three rarest tokens.
+    known_as = F.struct("at", "n", "parity")
+    near = lines.filter("n > 3").select(known_as.alias("line"), F.explode(F.slice("prefix", 1, 3)).alias("token"))
+    hubs = near.groupBy("token").agg(F.min("line").alias("hub"), F.count("*").alias("m")).filter("m > 1")
+    by_hub = near.join(hubs, "token").filter((F.col("hub.at") < F.col("line.at")) & _possible(F.col("line"), F.col("hub")))
+    by_hub = by_hub.select(F.col("line.at").alias("later"), F.col("hub.at").alias("earlier")).join(repeated.toDF("later"), "later", "left_anti").distinct()
+    matched = cut(_confirm(cut(by_hub), known, classes))
+
+    # Prefix join on short rows: a line is a 64-bit id, its place and parity follow for candidates.
+    gone = repeated.withColumn("state", F.lit(2)).union(matched.select(F.col("later").alias("at"), F.lit(1)))
+    single = cut_table(lines.filter("n > 3").join(gone, "at", "left").filter("state is null or state = 1").select("at", F.xxhash64("at").alias("id"), "n", "parity", "prefix", F.col("state").isNull().alias("open")).dropDuplicates(["at"]))
+    rows = single.select("id", "n", "open", F.posexplode("prefix").alias("pos", "token"))
+    smaller = rows.filter(F.col("pos") <= F.col("n") - _least(F.col("n"), 8, 9)).toDF("id_y", "n_y", "open_y", "pos_y", "token")
+    larger = rows.toDF("id_x", "n_x", "open_x", "pos_x", "token_x")
     pairs = smaller.join(
         larger,
         (F.col("token") == F.col("token_x"))
         & (F.col("n_y") <= F.col("n_x"))
         & (5 * F.col("n_y") >= 4 * F.col("n_x"))
-        & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
-        & ((F.col("n_y") < F.col("n_x")) | (F.col("at_y") < F.col("at_x")))
-        & F.when(F.col("at_x") > F.col("at_y"), F.col("open_x")).otherwise(F.col("open_y")),
-    )
-    pairs = pairs.select(F.greatest("at_x", "at_y").alias("later"), F.least("at_x", "at_y").alias("earlier")).filter("later <> earlier").distinct()
-    gone = repeated.union(matched).union(_confirm(cut(pairs), known, classes))
-    return lines.select("at.doc_id", "at.line_no"), gone.select("at.doc_id", "at.line_no").distinct()
+        & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= _least(F.col("n_x") + F.col("n_y"), 4, 9))
+        & ((F.col("n_y") < F.col("n_x")) | (F.col("id_y") < F.col("id_x")))
+        & (F.col("open_x") | F.col("open_y")),
+    ).select("id_x", "id_y")
+    side = single.select("id", F.struct("at", "n", "parity", "open").alias("line"))
+    pairs = pairs.join(side.toDF("id_x", "x"), "id_x").join(side.toDF("id_y", "y"), "id_y").filter(_possible(F.col("x"), F.col("y")))
+    later, earlier = (F.when((F.col("x.at") > F.col("y.at")) == up, F.col("x")).otherwise(F.col("y")) for up in (True, False))
+    pairs = pairs.select(later.alias("later"), earlier.alias("earlier")).filter("later.open and later.at <> earlier.at").select("later.at", "earlier.at").toDF("later", "earlier").distinct()
+    removed = repeated.union(matched).union(_confirm(cut(pairs), known, classes))
+    return lines.select("at.doc_id", "at.line_no"), removed.select("at.doc_id", "at.line_no").distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
