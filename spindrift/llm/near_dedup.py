@@ -10,8 +10,9 @@
     that still join two components.
 4.  What shares band keys, directly or through others, is a family. In families that still hold
     several components, the nodes outside the largest one meet all others in blocks of bounded
-    size: signatures choose, full sets confirm within the task, and only links that join two
-    components leave it. So a link that runs past a group's smallest node is not lost.
+    size. First, signatures choose the most similar node of another component for each, to be
+    confirmed; then those that still see a possible link meet the full sets, and only links that
+    join two components leave the task. So a link that runs past a group's smallest node is not lost.
 
 A link of the least similarity misses all 32 bands with probability 5e-8 and is estimated too low
 with less than 1e-8. Components need no pairs, only a link to each new member; copies and near
@@ -193,44 +194,83 @@ def _links_between(left, right, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _across(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between different components of one candidate group (node, family, component, signature, n).
+def _block(column: pa.ListArray, k: int) -> tuple:
+    """Row ``k``'s nodes, components, signatures, and if there are any, shingles and their bounds."""
+    rows = column[k].values
+    signature = rows.field("signature").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
+    out = rows.field("node").to_numpy(), rows.field("component").to_numpy(), signature
+    if rows.type.num_fields == 3:
+        return out
+    flat = rows.field("shingles")
+    return *out, flat.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(flat.value_lengths().to_numpy())))
 
-    All links between components have an end outside the group's largest component. Such nodes,
-    in blocks, meet all nodes of their group, in blocks; a block's size is bounded in nodes and in
-    shingles. Only links that are confirmed and join two components leave a task.
+
+def _blocks(nodes: DataFrame, outside: DataFrame, *columns: str) -> DataFrame:
+    """Blocks of nodes of ``outside`` (a column node) beside blocks of all nodes of their family.
+
+    A block's size is bounded in nodes and in shingles.
     """
-    sets = sets_of(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size).dropDuplicates(["node"])
-    held = cut_table(nodes.join(sets, "node"))
-    counted = held.groupBy("family", "component").agg(F.count("*").alias("m"))
-    largest = counted.groupBy("family").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("largest"))
-    held = held.join(largest, "family")
 
-    def packed(df: DataFrame, most: int, names: list[str]) -> DataFrame:
-        total = df.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / (64 * most)), F.lit(1)).alias("blocks"))
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        total = df.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (128 * BLOCK)), F.lit(1)).alias("blocks"))
         dealt = df.join(total, "family").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
-        row = F.struct("node", "component", "signature", "shingles")
-        return dealt.groupBy("family", "block").agg(F.collect_list(row).alias("rows")).select("family", F.col("rows").alias(names[0]))
+        return dealt.groupBy("family", "block").agg(F.collect_list(F.struct("node", "component", "signature", *columns)).alias(name)).select("family", name)
+
+    both = packed(nodes.join(outside, "node", "left_semi"), "outside").join(packed(nodes, "inside"), "family").select("outside", "inside")
+    return both.repartition(F.xxhash64(F.expr("outside[0].node"), F.expr("inside[0].node")))
 
-    both = packed(held.filter("component <> largest"), BLOCK // 4, ["outside"]).join(packed(held, BLOCK, ["inside"]), "family").select("outside", "inside")
-    both = both.repartition(F.xxhash64(F.expr("outside[0].node"), F.expr("inside[0].node")))
 
-    def block(column: pa.ListArray, k: int):
-        rows = column[k].values
-        flat = rows.field("shingles")
-        flat = flat.flatten() if len(flat) else flat.values
-        counts = rows.field("shingles").value_lengths().to_numpy()
-        signature = rows.field("signature").flatten().to_numpy().view(np.uint64).reshape(-1, LONGS)
-        return rows.field("node").to_numpy(), rows.field("component").to_numpy(), signature, flat.to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(counts)))
+def _best_across(nodes: DataFrame, outside: DataFrame) -> DataFrame:
+    """For each node of ``outside``, the node of another component that looks most similar, if any
+    looks similar enough: a row for each such node, from the signatures alone."""
+    kind = nodes.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                found = _links_between(block(batch.column(0), k), block(batch.column(1), k), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.column(0).type.value_type.field("node").type) for i in (0, 1)], ["a", "b"])
+                (n, c, s), (n2, c2, s2) = _block(batch.column(0), k), _block(batch.column(1), k)
+                best = np.full((2, len(n)), -1.0)
+                for at in range(0, len(n), 128):
+                    e = np.where(c[at : at + 128, None] != c2[None, :], estimates(s[at : at + 128], s2), -1.0)
+                    best[0, at : at + 128], best[1, at : at + 128] = e.max(1), e.argmax(1)
+                hit = best[0] >= ESTIMATE
+                yield pa.RecordBatch.from_arrays([pa.array(n[hit]), pa.array(n2[best[1, hit].astype(int)]), pa.array(best[0, hit])], ["a", "b", "similar"])
+
+    found = _blocks(nodes, outside).mapInArrow(run, f"a {kind}, b {kind}, similar double")
+    return found.groupBy("a").agg(F.max_by("b", F.struct("similar", -F.col("b"))).alias("b"))
+
 
+def _across(nodes: DataFrame, outside: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links that join components, with an end in ``outside``, confirmed on full sets; a pair of
+    components is reported once by each pair of blocks."""
     kind = nodes.schema["node"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    families = nodes.join(outside, "node", "left_semi").select("family").distinct()
+    nodes = nodes.join(families, "family", "left_semi")
+    sets = sets_of(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size).dropDuplicates(["node"])
+    held = cut_table(nodes.join(sets, "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = _links_between(_block(batch.column(0), k), _block(batch.column(1), k), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], batch.column(0).type.value_type.field("node").type) for i in (0, 1)], ["a", "b"])
+
+    return _blocks(held, outside, "shingles").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _open(nodes: DataFrame, candidates: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of families with several components, and those outside their largest component.
+
+    A family is what candidate links hold together; it is found on components, not on nodes. All
+    links between components of a family have an end outside its largest one.
+    """
+    between = _labelled(candidates, labels, "a", "b").filter("a_in <> b_in").select(F.least("a_in", "b_in").alias("a"), F.greatest("a_in", "b_in").alias("b")).distinct()
+    families = components(between).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    placed = nodes.select("node", "signature", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = cut(placed.join(families, "component"))
+    counted = open_.groupBy("family", "component").agg(F.count("*").alias("m"))
+    largest = counted.groupBy("family").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("component"))
+    return open_, open_.join(largest, ["family", "component"], "left_anti").select("node")
 
 
 def near_groups(docs: DataFrame, size: int, percent: int = SIMILARITY) -> DataFrame:
@@ -253,12 +293,14 @@ def near_groups(docs: DataFrame, size: int, percent: int = SIMILARITY) -> DataFr
     rest = _labelled(pairs.join(best, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_in <> b_in").select("a", "b")
     links = cut(links.union(confirm(cut(rest), docs, size, percent)))
     labels = components(links)
-    families = components(candidates).select("node", F.col("component").alias("family"))
-    placed = families.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("family")
-    open_ = cut(placed.join(several, "family").join(nodes.select("node", "signature", "n"), "node"))
-    links = links.union(cut(_across(open_, docs, size, percent)))
-    labels = components(cut(links))
+    for final in (False, True):
+        open_, outside = _open(nodes, candidates, labels)
+        best = cut(_best_across(open_, outside))
+        if best.isEmpty():
+            break
+        looking = best.select(F.col("a").alias("node"))
+        links = cut(links.union(_across(open_, looking, docs, size, percent) if final else confirm(best, docs, size, percent)))
+        labels = components(links)
 
     copies = nodes.select("key_1", "key_2", "node")
     found = sketches.select("doc_id", "n_shingles", "key_1", "key_2").join(copies, ["key_1", "key_2"], "left").join(labels, "node", "left")
