@@ -89,9 +89,10 @@ def _possible(x: Column, y: Column) -> Column:
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     """Of pairs (later, earlier) of places, the later places of those that are similar."""
     places = cut(pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct())
-    own = places.select(F.col("at.doc_id").alias("doc_id")).distinct()
-    lines = lines_of(docs.join(own, "doc_id", "left_semi")).select(F.struct("doc_id", "line_no").alias("at"), "line")
-    tokens = cut_table(lines.join(places, "at", "left_semi").select("at", _tokens(F.col("line"), classes).alias("t")).dropDuplicates(["at"]))
+    wanted = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_set("at.line_no")).alias("wanted"))
+    picked = docs.join(wanted, "doc_id").select("doc_id", F.explode(F.arrays_zip("wanted", F.filter(F.split("text", "\n", -1), lambda line, i: F.array_contains("wanted", i)).alias("line"))).alias("w"))
+    lines = picked.select(F.struct("doc_id", F.col("w.wanted").alias("line_no")).alias("at"), F.col("w.line").alias("line"))
+    tokens = cut_table(lines.select("at", _tokens(F.col("line"), classes).alias("t")))
     both = pairs.join(tokens.toDF("later", "x"), "later").join(tokens.toDF("earlier", "y"), "earlier")
     return both.filter(_similar("x", "y")).select("later").distinct()
 
@@ -118,7 +119,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Prefix join on short rows: a line is a 64-bit id, its place and parity follow for candidates.
     gone = repeated.withColumn("state", F.lit(2)).union(matched.select(F.col("later").alias("at"), F.lit(1)))
-    single = cut_table(lines.filter("n > 3").join(gone, "at", "left").filter("state is null or state = 1").select("at", F.xxhash64("at").alias("id"), "n", "parity", "prefix", F.col("state").isNull().alias("open")).dropDuplicates(["at"]))
+    single = cut_table(lines.filter("n > 3").join(gone, "at", "left").filter("state is null or state = 1").select("at", F.xxhash64("at").alias("id"), "n", "parity", "prefix", F.col("state").isNull().alias("open")))
     rows = single.select("id", "n", "open", F.posexplode("prefix").alias("pos", "token"))
     smaller = rows.filter(F.col("pos") <= F.col("n") - _least(F.col("n"), 8, 9)).toDF("id_y", "n_y", "open_y", "pos_y", "token")
     larger = rows.toDF("id_x", "n_x", "open_x", "pos_x", "token_x")
