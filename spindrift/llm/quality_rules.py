@@ -134,9 +134,15 @@ def judge(df: DataFrame, text: str = "text", rules=RULES) -> tuple[DataFrame, st
 
 
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """The rows that the rules keep, with the columns they came with."""
+    """The rows that the rules keep, with the columns they came with.
+
+    A filter on the verdict alone would be pushed below the projections, which repeats each step's
+    expression in the next one, many times over. Beside a non-deterministic column it stays above.
+    """
     df, name, _, kept = judge(df, text, rules)
-    return df.filter(kept).drop(name)
+    verdict, part = fresh(df, "quality_kept"), fresh(df, "quality_part")
+    df = df.withColumns({verdict: kept, part: F.spark_partition_id()})
+    return df.filter(F.col(verdict) & (F.col(part) >= 0)).drop(name, verdict, part)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
