@@ -4,7 +4,7 @@ A line is the set of its words. Of two lines whose sets have a Jaccard similarit
 the later one goes (by document id, then line number; judged on the input, so a line goes if any
 earlier line is that similar, whether that one stays or not). Lines without a word stay.
 
-1.  Rarity: every word of the corpus is counted in one of 2**18 hashed counters. A token is a
+1.  Rarity: every word of the corpus is counted in one of 2**16 hashed counters. A token is a
     63-bit number, its counter's class (quarters of a power of two) above 55 bits of its hash: the
     natural order of tokens is by rarity. The counters are the only thing that is broadcast, as a
     constant of fixed size.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, cut_table, fresh, table, text_or_empty
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 16
 HASH_BITS = 55
 SPACE = r"[\x20\x09-\x0D]+"
 TRIM = " \t\n\x0b\f\r"
@@ -45,13 +45,13 @@ def _hashes(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The classes of all counters, as a constant array."""
+    """The classes of all counters, a byte each, as a constant."""
     words = docs.select(F.explode(_hashes(text_or_empty())).alias("h"))
     counts = words.groupBy(F.pmod("h", F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("n"))
     classes = [0] * COUNTERS  # at most so many rows come back
     for k, c in counts.select("k", F.floor(4 * F.log2("n")).cast("int").alias("c")).toLocalIterator():
-        classes[k] = min(c, 255)
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+        classes[k] = min(c, 127)
+    return F.lit(bytes(classes))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _tokens(line: Column, classes: Column) -> Column:
     low = F.lit((1 << HASH_BITS) - 1)
-    tokens = F.transform(_hashes(line), lambda h: F.shiftleft(F.get(classes, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
+    tokens = F.transform(_hashes(line), lambda h: F.shiftleft(F.ascii(F.substring(classes, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
     return F.sort_array(F.array_distinct(tokens))
 
 
