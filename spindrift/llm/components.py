@@ -14,14 +14,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every step takes the least label of the neighbours and then that label's own label, so chains
     shorten by half or more. Nothing but "did a label change" reaches the driver, and each step is
     cut by a checkpoint, so neither the plan nor what a lost executor costs grows with the steps.
+    Its joins are merge joins: broadcasts of many small steps would add up in the driver.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     edges = cut(edges.union(edges.select("v", "u")).distinct())
     labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
     while True:
-        near = edges.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        hooked = labels.join(near, "u").select("u", "c", F.least("c", "m").alias("h"))
-        jumped = hooked.join(hooked.select(F.col("u").alias("h"), F.col("h").alias("j")), "h")
+        near = edges.join(labels.select(F.col("u").alias("v"), "c").hint("merge"), "v").groupBy("u").agg(F.min("c").alias("m"))
+        hooked = labels.join(near.hint("merge"), "u").select("u", "c", F.least("c", "m").alias("h"))
+        jumped = hooked.join(hooked.select(F.col("u").alias("h"), F.col("h").alias("j")).hint("merge"), "h")
         after = cut(jumped.select("u", F.col("j").alias("c"), (F.col("j") != F.col("c")).alias("changed")))
         labels = after.select("u", "c")
         if after.filter("changed").isEmpty():

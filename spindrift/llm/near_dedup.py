@@ -165,7 +165,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 def _labelled(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
-        df = df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+        df = df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")).hint("merge"), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
     return df
 
 
