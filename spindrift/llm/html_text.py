@@ -5,7 +5,8 @@ block tags, with the number of tags and of link characters in it). Blocks inside
 never content (menus, forms, scripts, adverts, comments, by tag, role, class or id) are out. The
 text-to-tag ratios of the others, smoothed by a Gaussian over neighbouring blocks, are clustered by
 their standard deviation; the smallest element that holds nearly all text of the upper cluster is
-the content region, and every block in it that is not a list of links is kept.
+widened to the article or main around it, and every block in the page's articles that is not a list
+of links is kept. If the text is not in an article, every such block of the page is.
 
 Defined results
     null or empty html      empty text, 0 characters
@@ -60,10 +61,10 @@ def marked(value: str) -> bool:
 
 
 class Block:
-    __slots__ = ("inside", "links", "tags", "text")
+    __slots__ = ("article", "inside", "links", "tags", "text")
 
-    def __init__(self, text: str, tags: int, links: int, inside: tuple[int, ...]):
-        self.text, self.tags, self.links, self.inside = text, tags, links, inside
+    def __init__(self, text: str, tags: int, links: int, inside: tuple[int, ...], article: bool):
+        self.text, self.tags, self.links, self.inside, self.article = text, tags, links, inside, article
 
 
 class Reader(HTMLParser):
@@ -82,7 +83,7 @@ class Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.tags, self.linked, tuple(self.inside)))
+                self.blocks.append(Block(text, self.tags, self.linked, tuple(self.inside), self.articles > 0))
                 self.tags = 0
             self.parts.clear()
             self.linked = 0
@@ -185,7 +186,9 @@ def select(blocks: list[Block]) -> list[Block]:
             held[region] = held.get(region, 0) + len(b.text)
     most = 0.9 * sum(len(b.text) for b in chosen)
     region = max((r for r, n in held.items() if n >= most), default=0)  # the last opened is the innermost
-    inside = [b for b in blocks if not region or region in b.inside]
+    # A title, a lead or a short section stands beside the longest list, table or section: only articles narrow the page.
+    article = all(b.article for b in blocks if not region or region in b.inside)
+    inside = [b for b in blocks if b.article or not article]
     # A block of links alone is a menu without a mark; a link that is a paragraph between others stays.
     return [b for b in inside if b.links < len(b.text.replace(" ", "")) or len(b.text) > 80]
 

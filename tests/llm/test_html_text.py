@@ -35,6 +35,29 @@ def test_templates(seed, shell):
     assert main_text(page).split("\n") == want
 
 
+LONG = [
+    ("<ul>{}</ul>", "<li>{}</li>"),
+    ("<table>{}</table>", "<tr><td>{}</td></tr>"),
+    ("<div class=body>{}</div>", "<p>{}</p>"),
+    ("<section>{}</section>", "<p>{}</p>"),
+    ("<blockquote>{}</blockquote>", "<p>{}</p>"),
+]
+
+
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div id=page>{}</div>", "{}"])
+@pytest.mark.parametrize("long, item", LONG)
+def test_text_beside_a_long_element(shell, long, item):
+    items = [f"{P1} This is number {k}." for k in range(30)]
+    body = "<h1>Title</h1><p>A lead.</p>" + long.format("".join(map(item.format, items))) + "<section><h2>Short</h2><p>A short section.</p></section>"
+    page = f"<html><body>{OUT[0]}{OUT[3]}{shell.format(body)}{OUT[7]}{OUT[8]}</body></html>"
+    assert main_text(page).split("\n") == ["Title", "A lead.", *items, "Short", "A short section."]
+
+
+def test_articles_side_by_side():
+    page = f"<body><div>Site</div><article><h1>One</h1><ul>{f'<li>{P1}</li>' * 30}</ul></article><article><h1>Two</h1><p>Short.</p></article></body>"
+    assert main_text(page).split("\n") == ["One", *[P1] * 30, "Two", "Short."]
+
+
 def test_edges():
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
     assert main_text("<article><p>Only this") == "Only this"
