@@ -10,7 +10,9 @@ of links is kept. If the text is not in an article, every such block of the page
 
 Defined results
     null or empty html      empty text, 0 characters
-    broken markup           what the parser reads up to the end; open elements end with the page
+    broken markup           what the parser reads up to the end; open elements end with the page;
+                            a declaration that it refuses, or that never ends, is left out up to
+                            its first >
     very long page          one row at a time; the work is linear in the page
     repeated rows, null ids every row on its own
     empty table             an empty result
@@ -78,6 +80,20 @@ class Reader(HTMLParser):
         self.blocks: list[Block] = []
         self.tags = self.linked = 0
         self.parts: list[str] = []
+        self.endless: set[str] = set()  # beginnings of marked sections that have no end in the rest of the page
+
+    def parse_marked_section(self, i, report=1):
+        begin = self.rawdata[i + 3 : i + 6].lower()
+        end = -1
+        if begin not in self.endless:
+            try:
+                end = super().parse_marked_section(i, report)
+            except AssertionError:  # an unknown keyword, or none
+                pass
+            else:
+                if end < 0:
+                    self.endless.add(begin)
+        return end if end >= 0 else self.parse_bogus_comment(i, report)
 
     def flush(self) -> None:
         if self.parts:
@@ -197,11 +213,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     reader = Reader()
-    try:
-        reader.feed(html)
-        reader.close()
-    except AssertionError:  # the standard parser gives up on some declarations; what was read stays
-        pass
+    reader.feed(html)
+    reader.close()
     reader.flush()
     return "\n".join(b.text for b in select(reader.blocks))
 

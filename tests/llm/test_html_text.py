@@ -67,6 +67,18 @@ def test_edges():
     assert marked("site-header") and marked("cookieNotice") and not marked("post-header") and not marked("with-sidebar")
 
 
+@pytest.mark.parametrize("odd", ["<![foo[x]]>", "<![if x]>", "<![endif]>", "<![ x]>", "<![>", "<![]>", "<![if x>", "<![CDATA[x>", "<![CDATA[<p>x</p>]]>", "<![1]>", "<!foo>", "<!>", "<!ELEMENT x>", "<!DOCTYPE x [<!foo>"])
+def test_text_behind_odd_declarations(odd):
+    assert main_text(f"<p>a</p>{odd}<p>b</p>{odd}<p>c</p>").split("\n") == ["a", "b", "c"]
+
+
+def test_any_declaration_is_read_to_the_end():
+    rng = random.Random(7)
+    bits = ["<![", "<!", "[", "]", "]]", ">", "]>", "if", "CDATA", "foo", " ", "<!--", "-->", "x", "<", "</", "&", "<p>"]
+    for _ in range(5000):
+        assert main_text("<p>a</p>" + "".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) + "--> ]]> <p>b</p>").endswith("b")
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a b</p>", "y"), (2, "v", "", "z")], "page_id long, url string, html string, text string")
     got = sorted(map(str, extract(df).collect()))
