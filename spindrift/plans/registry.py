@@ -101,6 +101,15 @@ def _(spark, sf):
     return D.pairwise_distances(xs, ys, "manhattan", "x", "y").select("x_id", "y_id", F.round("distance", 6).alias("distance"))
 
 
+@query("pairwise_queries")
+def _(spark, sf):
+    """The query set of pairwise_matrix against every row."""
+    vectors = _table(spark, sf, "embeddings")
+    xs = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("x_id"), F.col("embedding").alias("x"))
+    ys = vectors.select(F.col("vec_id").alias("y_id"), F.col("embedding").alias("y"))
+    return D.pairwise_distances(ys, F.broadcast(xs), "manhattan", "x", "y").select("x_id", "y_id", F.round("distance", 6).alias("distance"))
+
+
 @query("sql_functions", f"SELECT vec_id, round(list_cosine_similarity({_V}, {_Q}), 6) AS cosine, round(list_distance({_V}, {_Q}), 6) AS l2, round({_MANHATTAN.format(a=_V, b=_Q)}, 6) AS l1 FROM embeddings")
 def _(spark, sf):
     D.register(spark)
@@ -123,6 +132,15 @@ def _(spark, sf):
     return search.rescore(vectors.filter("vec_id % 3 = 0").select("vec_id"), vectors, _stored(spark, sf), 10)
 
 
+@query("rescore_quantized")
+def _(spark, sf):
+    """Candidates from the int8 codes of all rows, the best of them by their exact score."""
+    vectors, asked = _table(spark, sf, "embeddings"), _stored(spark, sf)
+    scored = quantize.quantized_dot(quantize.encode_scalar(vectors, quantize.fit_scalar(vectors)), asked)
+    candidates = scored.orderBy(F.desc("score"), "vec_id").limit(100).select("vec_id")
+    return search.rescore(F.broadcast(candidates), vectors, asked, 10)
+
+
 # ---- metadata ----------------------------------------------------------------------------------
 
 _K = "(props->>'$.k')::DOUBLE"
