@@ -47,6 +47,12 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+def _added(path: str) -> list[str]:
+    """The file's added tokens."""
+    with open(path, encoding="utf-8") as file:
+        return [token["content"] for token in json.load(file).get("added_tokens") or []]
+
+
 def _ranks(path: str) -> dict[bytes, int] | None:
     """Byte string -> id, if the file's merges are in the order of their ids; else None."""
     with open(path, encoding="utf-8") as file:
@@ -66,23 +72,29 @@ class Encoder:
     Byte-level BPE never joins across a space that precedes a word, so a text is split at spaces
     and each chunk's ids are kept: most chunks of natural text have been seen. Texts with a space
     before other white space, where that doesn't hold, are encoded as a whole.
+
+    With ``added``, the file's added tokens get their ids where they stand in a text, as
+    ``tokenizers`` does with ``add_special_tokens=False``; without, they are spelled out.
     """
 
     _joint = re.compile(r" (?=\s)| $|^ ")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         ranks = _ranks(path)
+        self.added = _added(path) if added else []
+        if self.added or ranks is None:
+            from tokenizers import Tokenizer
+
+            model = Tokenizer.from_file(path)
+            model.encode_special_tokens = not added
+            self.model_ids = lambda text: model.encode(text, add_special_tokens=False).ids
         if ranks is not None:
             import tiktoken
 
             encoding = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
             self.ids = encoding.encode_ordinary
         else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-            self.ids = lambda text: model.encode(text, add_special_tokens=False).ids
+            self.ids = self.model_ids
         outer = self
 
         class Cache(dict):
@@ -99,6 +111,8 @@ class Encoder:
         return np.array(self.ids(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(token in text for token in self.added):
+            return np.array(self.model_ids(text), dtype="<u4").tobytes()
         if not self.by_chunk or self._joint.search(text):
             return self.whole(text)
         if len(self.cache) > CACHE_ENTRIES:
@@ -111,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """Per piece of a document: where it starts, its length, checksum, and the document's ids in all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(tokenizer)
+        encode = Encoder(tokenizer, added=True)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows = []

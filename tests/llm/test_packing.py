@@ -63,3 +63,21 @@ def test_documents(spark):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 1024
     assert P.pack_documents(df.limit(0)).count() == 0
+
+
+def test_added_tokens_equal_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    path = P.default_tokenizer()
+    model = Tokenizer.from_file(path)
+    encode = P.Encoder(path, added=True)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|> x", "  <|endoftext|>  y\n", "<|endoftext| >", "no token here", ""]
+    rng = random.Random(2)
+    texts += ["".join(rng.choice([" ", "\n", "a", "'s", "1", "<|endoftext|>", "<|", "|>", "endoftext"]) for _ in range(rng.randint(0, 20))) for _ in range(2000)]
+    for text in texts:
+        assert np.frombuffer(encode(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+    df = spark.createDataFrame(list(enumerate(texts[:8])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in P.pieces(df, path).collect()}
+    for k, text in enumerate(texts[:8]):
+        ids = np.array([*model.encode(text, add_special_tokens=False).ids, P.END_ID], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
