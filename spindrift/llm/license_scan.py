@@ -102,6 +102,17 @@ def _searcher(per_edit: int):
     return seeds, notices
 
 
+def _matches(pattern, text: str, start: int, stop: int):
+    """Matches of a window, also those before a better one: a best match search passes over them."""
+    parts = [(start, stop)]
+    while parts:
+        start, stop = parts.pop()
+        m = pattern.search(text, start, stop) if start < stop else None
+        if m and m.end() > m.start():
+            yield m
+            parts += [(start, m.start()), (m.end(), stop)]
+
+
 def notice_spans(norm: bytes, per_edit: int = CHARACTERS_PER_EDIT) -> list[tuple[int, int, str, float]]:
     """(first word, word after the last, label, similarity) of every notice found."""
     seeds, notices = _searcher(per_edit)
@@ -129,10 +140,9 @@ def notice_spans(norm: bytes, per_edit: int = CHARACTERS_PER_EDIT) -> list[tuple
     for n, own in windows.items():
         notice, label, _, pattern = notices[n]
         for start, stop in own:
-            for m in pattern.finditer(text, max(0, start), min(len(text), stop)):
-                if m.end() > m.start():
-                    first = text.count(" ", 0, m.start() + (text[m.start()] == " "))
-                    found.append((first, text.count(" ", 0, m.end()) + 1 - (text[m.end() - 1] == " "), label, 1 - sum(m.fuzzy_counts) / len(notice)))
+            for m in _matches(pattern, text, max(0, start), min(len(text), stop)):
+                first = text.count(" ", 0, m.start() + (text[m.start()] == " "))
+                found.append((first, text.count(" ", 0, m.end()) + 1 - (text[m.end() - 1] == " "), label, 1 - sum(m.fuzzy_counts) / len(notice)))
     return sorted(set(found))
 
 

@@ -49,6 +49,16 @@ def test_notices_with_edits():
     assert [words[a:b] for a, b, label, _ in L.notice_spans(b" ".join(words)) if label == "apache"][0][-1] == b"license"
 
 
+def test_less_exact_notices_before_a_better_one():
+    words = "mozila public license mozilla public license mozilla publik license"
+    assert [x[:3] for x in L.notice_spans(L.normalize(words))] == [(0, 3, "mpl"), (3, 6, "mpl"), (6, 9, "mpl")]
+    rng = random.Random(4)
+    for _ in range(100):
+        n = rng.randint(1, 12)
+        text = " ".join(rng.choice(["mozilla", "mozila", "mozillla"]) + " public license" for _ in range(n))
+        assert [x[:2] for x in L.notice_spans(L.normalize(text)) if x[2] == "mpl"] == [(3 * k, 3 * k + 3) for k in range(n)], text
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (None, "MIT License", "c"), (2, "mit license " * 20000, "d")], "doc_id long, text string, labels string")
     got = {(r.doc_id, r.n_words): r for r in L.scan(df).collect()}
