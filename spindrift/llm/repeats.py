@@ -9,7 +9,7 @@ mostly share theirs: a run of windows with one anchor is a snippet of the text.
 2.  Each shard of documents cuts out the snippets of the anchors that are left; equal snippets of
     a shard travel once, with the list of where they stand there.
 3.  By anchor, snippets meet in content shards. Equal snippets of different shards are merged by
-    binary search in the sorted distinct ones. Of the distinct ones a suffix array is built in
+    a dictionary of the distinct ones. Of the distinct ones a suffix array is built in
     numpy (Larsson-Sadakane: groups that are still undecided are refined by the ranks h bytes on,
     with h doubling), then the common prefixes by Kasai's order: along runs of the text where the
     preceding suffix also moves on by one, a prefix is one shorter than the last. Neighbours with
