@@ -22,7 +22,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,13 +137,14 @@ def notice_spans(norm: bytes, per_edit: int = CHARACTERS_PER_EDIT) -> list[tuple
                 own[-1][1] = max(own[-1][1], stop)
             else:
                 own.append([start, stop])
-    found = []
+    found, spaces = [], np.flatnonzero(np.frombuffer(norm, dtype=np.uint8) == 0x20)
+    before = lambda at: int(np.searchsorted(spaces, at))  # noqa: E731  spaces in text[:at]
     for n, own in windows.items():
         notice, label, _, pattern = notices[n]
         for start, stop in own:
             for m in _matches(pattern, text, max(0, start), min(len(text), stop)):
-                first = text.count(" ", 0, m.start() + (text[m.start()] == " "))
-                found.append((first, text.count(" ", 0, m.end()) + 1 - (text[m.end() - 1] == " "), label, 1 - sum(m.fuzzy_counts) / len(notice)))
+                first = before(m.start() + (text[m.start()] == " "))
+                found.append((first, before(m.end()) + 1 - (text[m.end() - 1] == " "), label, 1 - sum(m.fuzzy_counts) / len(notice)))
     return sorted(set(found))
 
 
@@ -163,19 +165,20 @@ def scan_text(text: str | None) -> tuple:
     )
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notice_spans"]
+#: The columns of a scan and their types.
+COLUMNS = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "notice_spans": pa.string()}
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pd.DataFrame([scan_text(t if isinstance(t, str) else None) for t in batch["_text"]], columns=names)
-            rows[["first_word", "last_word"]] = rows[["first_word", "last_word"]].astype("Int64")
-            rows.insert(0, "doc_id", batch["doc_id"].array)
-            yield rows
+            rows = [scan_text(t.as_py()) for t in batch.column(1)]
+            found = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(COLUMNS.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["doc_id", *COLUMNS])
 
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notice_spans string")
+    return df.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notice_spans string")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

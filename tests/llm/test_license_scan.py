@@ -66,3 +66,9 @@ def test_rows(spark):
     assert got[(2, 40000)].n_base == 20000 and got[(2, 40000)].last_word == 39998
     assert got[(1, 0)].first_word is None and got[(1, 0)].score == 0.0
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_ids_beside_a_null(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "mit license"), (None, "x"), (7, None)], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.first_word) for r in L.scan(df).collect()} == {(big, 0), (None, None), (7, None)}
