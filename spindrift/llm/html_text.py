@@ -3,10 +3,10 @@
 The standard library's parser streams events into blocks (a line of the page: the text between two
 block tags, with the number of tags and of link characters in it). Blocks inside elements that are
 never content (menus, forms, scripts, adverts, comments, by tag, role, class or id) are out. The
-text-to-tag ratios of the others, smoothed by a Gaussian over neighbouring blocks, are clustered by
-their standard deviation; the smallest element that holds nearly all text of the upper cluster is
-widened to the article or main around it, and every block in the page's articles that is not a list
-of links is kept. If the text is not in an article, every such block of the page is.
+text-to-tag ratios of the others (text outside links, by tags), smoothed by a Gaussian over neighbouring blocks,
+are clustered by their standard deviation. Where the upper cluster's text stands mostly in articles,
+all blocks of the page's articles are kept. Else all of the page's are, less those that hold nothing
+but links and are not in the upper cluster: a menu without a mark, but not a link between paragraphs.
 
 Defined results
     null or empty html      empty text, 0 characters
@@ -26,11 +26,11 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Elements by what they are to a reader.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,10 +63,16 @@ def marked(value: str) -> bool:
 
 
 class Block:
-    __slots__ = ("article", "inside", "links", "tags", "text")
+    """A line of the page: its text, the tags in it, its characters in links (without spaces)."""
 
-    def __init__(self, text: str, tags: int, links: int, inside: tuple[int, ...], article: bool):
-        self.text, self.tags, self.links, self.inside, self.article = text, tags, links, inside, article
+    __slots__ = ("article", "links", "tags", "text")
+
+    def __init__(self, text: str, tags: int, links: int, article: bool):
+        self.text, self.tags, self.links, self.article = text, tags, links, article
+
+    @property
+    def plain(self) -> int:
+        return len(self.text.replace(" ", "")) - self.links
 
 
 class Reader(HTMLParser):
@@ -74,9 +80,8 @@ class Reader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it is out, region or 0
-        self.out = self.link = self.regions = self.articles = 0
-        self.inside: list[int] = []
+        self.open: list[tuple[str, bool]] = []  # tag, whether it is out
+        self.out = self.link = self.articles = 0
         self.blocks: list[Block] = []
         self.tags = self.linked = 0
         self.parts: list[str] = []
@@ -99,19 +104,17 @@ class Reader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(text, self.tags, self.linked, tuple(self.inside), self.articles > 0))
+                self.blocks.append(Block(text, self.tags, self.linked, self.articles > 0))
                 self.tags = 0
             self.parts.clear()
             self.linked = 0
 
     def leave(self, to: int) -> None:
         """Ends the open elements from position ``to`` on."""
-        for tag, out, region in reversed(self.open[to:]):
+        for tag, out in self.open[to:]:
             self.out -= out
             self.link -= tag == "a"
             self.articles -= tag in ("article", "main")
-            if region:
-                self.inside.pop()
         del self.open[to:]
 
     def find(self, tags, stop) -> int | None:
@@ -143,15 +146,10 @@ class Reader(HTMLParser):
                 out |= (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower())
         elif attrs and not out and tag in ("article", "main"):
             out = any(key in ("class", "id") and {w.lower() for w in _WORDS.findall(value or "")} & {"comment", "comments", "ad", "advert", "sponsored", "related"} for key, value in attrs)
-        region = 0
-        if tag in REGIONS:
-            self.regions += 1
-            region = self.regions
-            self.inside.append(region)
         self.out += out
         self.link += tag == "a"
         self.articles += tag in ("article", "main")
-        self.open.append((tag, out, region))
+        self.open.append((tag, out))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -172,7 +170,7 @@ class Reader(HTMLParser):
         if not self.out:
             self.parts.append(data)
             if self.link:
-                self.linked += len(data)
+                self.linked += len("".join(data.split()))
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -188,25 +186,21 @@ def smooth(values: list[float]) -> list[float]:
 
 
 def select(blocks: list[Block]) -> list[Block]:
-    """The blocks of the content region."""
-    plain = [b for b in blocks if b.links * 2 <= len(b.text)]
-    if not plain:
+    """The blocks of the content regions.
+
+    Where the upper cluster's text stands mostly in articles, the articles are the regions, and
+    whole. Else the page is, less its menus: blocks of links alone that are not in the upper cluster.
+    """
+    if not blocks:
         return []
-    ratio = smooth([len(b.text) / max(1, b.tags) for b in plain])
+    ratio = smooth([b.plain / max(1, b.tags) for b in blocks])
     mean = sum(ratio) / len(ratio)
     bound = min(math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)), max(ratio))
-    chosen = [b for b, r in zip(plain, ratio, strict=True) if r >= bound]
-    held: dict[int, int] = {}
-    for b in chosen:
-        for region in b.inside:
-            held[region] = held.get(region, 0) + len(b.text)
-    most = 0.9 * sum(len(b.text) for b in chosen)
-    region = max((r for r, n in held.items() if n >= most), default=0)  # the last opened is the innermost
-    # A title, a lead or a short section stands beside the longest list, table or section: only articles narrow the page.
-    article = all(b.article for b in blocks if not region or region in b.inside)
-    inside = [b for b in blocks if b.article or not article]
-    # A block of links alone is a menu without a mark; a link that is a paragraph between others stays.
-    return [b for b in inside if b.links < len(b.text.replace(" ", "")) or len(b.text) > 80]
+    upper = [r >= bound and r > 0 for r in ratio]
+    held = [len(b.text) * u for b, u in zip(blocks, upper, strict=True)]
+    if 2 * sum(n for n, b in zip(held, blocks, strict=True) if b.article) > sum(held):
+        return [b for b in blocks if b.article]
+    return [b for b, u in zip(blocks, upper, strict=True) if u or b.plain]
 
 
 def main_text(html: str | None) -> str:
@@ -222,14 +216,15 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``keep`` columns with the page's text and its length in code points."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h if isinstance(h, str) else None) for h in batch.pop("_html")]
-            yield batch.assign(text=texts, n_chars=[len(t) for t in texts])
+            texts = [main_text(h.as_py()) for h in batch.column(len(keep))]
+            found = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], [*keep, "text", "n_chars"])
 
-    df = pages.select(*keep, F.col(html).alias("_html"))
+    df = pages.select(*keep, F.col(html).alias(fresh(pages, "html_")))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.mapInPandas(run, f"{kinds}, text string, n_chars long")
+    return df.mapInArrow(run, f"{kinds}, text string, n_chars long")
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:

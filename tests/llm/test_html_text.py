@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -53,6 +54,39 @@ def test_text_beside_a_long_element(shell, long, item):
     assert main_text(page).split("\n") == ["Title", "A lead.", *items, "Short", "A short section."]
 
 
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<div class=content>{}</div>", "{}"])
+def test_link_paragraphs_and_unmarked_menus(shell):
+    link = "<p><a href=/more>Read on here</a></p>"
+    assert main_text(f"<body>{shell.format(f'<p>{P1}</p>{link}<p>{P1}</p>')}</body>").split("\n") == [P1, "Read on here", P1]
+    page = f"<body><div>{MENU}</div>{shell.format(f'<h1>T</h1><p>Intro sentence one.</p><div>{f"<p>{P1}</p>" * 12}</div>')}</body>"
+    assert main_text(page).split("\n") == ["T", "Intro sentence one.", *[P1] * 12]
+
+
+def plain_text(html):
+    """What the generator of ``pages`` puts between its article tags, by regular expressions alone."""
+    import html as h
+
+    body = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    parts = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|section|blockquote|table|tr|td|pre)\b[^>]*>", body)
+    lines = (" ".join(h.unescape(re.sub(r"<br\s*/?>", " ", x)).split()) for x in (re.sub(r"<(?!br)[^>]*>", "", p) for p in parts))
+    return "\n".join(x for x in lines if x)
+
+
+def test_pages_against_a_plain_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    rows = pages.select("page_id", "html").collect()
+    assert len(got) == len(rows) > 2000
+    for r in rows:
+        assert got[r.page_id] == plain_text(r.html), r.page_id
+
+
+def test_ids_beside_a_null(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "u", "<p>a</p>"), (None, "v", "<p>b</p>")], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in extract(df).collect()} == {big, None}
+
+
 def test_articles_side_by_side():
     page = f"<body><div>Site</div><article><h1>One</h1><ul>{f'<li>{P1}</li>' * 30}</ul></article><article><h1>Two</h1><p>Short.</p></article></body>"
     assert main_text(page).split("\n") == ["One", *[P1] * 30, "Two", "Short."]
