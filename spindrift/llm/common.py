@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths that cuts of this driver have written and nothing has deleted yet.
+_kept: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +51,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder; survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as compressed Parquet in the shared checkpoint folder.
 
-
-def cut_table(df: DataFrame) -> DataFrame:
-    """As :func:`cut`, as compressed Parquet: for results that are read several times or are wide."""
+    It survives lost executors, and the optimizer sees the size of its files: a checkpointed
+    frame inherits the estimate of the plan behind it, which for joins is a product that grows
+    from cut to cut.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes what :func:`cut` has kept, once nothing will read it any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def kept_tables() -> int:
+    """A mark for :func:`release`."""
+    return len(_kept)
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes all that was kept since a mark, except ``but``: for callers that have written their result."""
+    for path in _kept[since:]:
+        if but is None or path != but._cut_path:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _kept:
+        _kept.remove(path)
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+cut_table = cut

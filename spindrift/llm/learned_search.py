@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_table, table
+from .common import cut, table
 
 #: Rows on which the partitions are learned.
 SAMPLE = 4096
@@ -210,13 +210,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
         return run
 
     routed = f"vec_id {kind}, v array<double>, parts array<int>"
-    indexed = cut_table(rows.mapInArrow(route(1), routed).select("vec_id", "v", F.col("parts")[0].alias("part")))
+    indexed = cut(rows.mapInArrow(route(1), routed).select("vec_id", "v", F.col("parts")[0].alias("part")))
     counts = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row for each partition, 256 at most
     dealt = indexed.join(F.broadcast(counts), "part").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")))
     held = dealt.groupBy("part", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("held"))
 
     asked = rows.filter(is_query).mapInArrow(route(probes), routed).select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part"))
-    asked = cut_table(asked)
+    asked = cut(asked)
     per_part = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("groups"))
     grouped = asked.join(F.broadcast(per_part), "part").withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(2)), F.col("groups")))
     grouped = grouped.groupBy("part", "group").agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))

@@ -6,13 +6,13 @@
 2.  Documents that share a band key are candidates. Of each band group only links to its smallest
     node are made: linear in the group. The packed signatures give the similarity, corrected for
     chance agreement of the low bits, from bit counts of their exclusive or; clear non-neighbours go.
-3.  The others are confirmed on full shingle sets: each node's most similar link first, then those
-    that still join two components.
+3.  The others are confirmed on full shingle sets. The texts are exchanged once, to give the sets of
+    all candidates, which this and the next step read.
 4.  What shares band keys, directly or through others, is a family. In families that still hold
     several components, the nodes outside the largest one meet all others in blocks of bounded
-    size. First, signatures choose the most similar node of another component for each, to be
-    confirmed; then those that still see a possible link meet the full sets, and only links that
-    join two components leave the task. So a link that runs past a group's smallest node is not lost.
+    size: first their signatures; then those that see a possible link meet the full sets, and only
+    links that join two components leave the task. So a link that runs past a group's smallest node
+    is not lost.
 
 A link of the least similarity misses all 32 bands with probability 5e-8 and is estimated too low
 with less than 1e-8. Components need no pairs, only a link to each new member; copies and near
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_table, table
+from .common import cut, table
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -152,10 +152,8 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - unequal / PERMUTATIONS) - chance) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Only their documents are read."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut_table(sets_of(docs.join(ids, "doc_id", "left_semi"), size))
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -165,7 +163,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
 def _labelled(df: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
-        df = df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")).hint("merge"), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+        df = df.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
     return df
 
 
@@ -220,34 +218,28 @@ def _blocks(nodes: DataFrame, outside: DataFrame, *columns: str) -> DataFrame:
     return both.repartition(F.xxhash64(F.expr("outside[0].node"), F.expr("inside[0].node")))
 
 
-def _best_across(nodes: DataFrame, outside: DataFrame) -> DataFrame:
-    """For each node of ``outside``, the node of another component that looks most similar, if any
-    looks similar enough: a row for each such node, from the signatures alone."""
+def _looking_across(nodes: DataFrame, outside: DataFrame) -> DataFrame:
+    """The nodes of ``outside`` whose signature looks similar enough to that of a node of another component."""
     kind = nodes.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                (n, c, s), (n2, c2, s2) = _block(batch.column(0), k), _block(batch.column(1), k)
-                best = np.full((2, len(n)), -1.0)
+                (n, c, s), (_, c2, s2) = _block(batch.column(0), k), _block(batch.column(1), k)
+                hit = np.zeros(len(n), dtype=bool)
                 for at in range(0, len(n), 128):
-                    e = np.where(c[at : at + 128, None] != c2[None, :], estimates(s[at : at + 128], s2), -1.0)
-                    best[0, at : at + 128], best[1, at : at + 128] = e.max(1), e.argmax(1)
-                hit = best[0] >= ESTIMATE
-                yield pa.RecordBatch.from_arrays([pa.array(n[hit]), pa.array(n2[best[1, hit].astype(int)]), pa.array(best[0, hit])], ["a", "b", "similar"])
+                    hit[at : at + 128] = ((c[at : at + 128, None] != c2[None, :]) & (estimates(s[at : at + 128], s2) >= ESTIMATE)).any(1)
+                yield pa.RecordBatch.from_arrays([pa.array(n[hit])], ["node"])
 
-    found = _blocks(nodes, outside).mapInArrow(run, f"a {kind}, b {kind}, similar double")
-    return found.groupBy("a").agg(F.max_by("b", F.struct("similar", -F.col("b"))).alias("b"))
+    return _blocks(nodes, outside).mapInArrow(run, f"node {kind}").distinct()
 
 
-def _across(nodes: DataFrame, outside: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(nodes: DataFrame, outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links that join components, with an end in ``outside``, confirmed on full sets; a pair of
     components is reported once by each pair of blocks."""
     kind = nodes.schema["node"].dataType.simpleString()
     families = nodes.join(outside, "node", "left_semi").select("family").distinct()
-    nodes = nodes.join(families, "family", "left_semi")
-    sets = sets_of(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), size).dropDuplicates(["node"])
-    held = cut_table(nodes.join(sets, "node"))
+    held = cut(nodes.join(families, "family", "left_semi").join(sets, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,31 +268,26 @@ def _open(nodes: DataFrame, candidates: DataFrame, labels: DataFrame) -> tuple[D
 def near_groups(docs: DataFrame, size: int, percent: int = SIMILARITY) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
-    sketches = cut_table(sketch(docs, size))
+    sketches = cut(sketch(docs, size))
     some = sketches.filter("n_shingles > 0 and doc_id is not null")
-    nodes = cut_table(some.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
+    nodes = cut(some.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
     signatures = nodes.select("node", "signature")
 
     banded = nodes.select("node", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("m")).filter("m > 1")
     candidates = cut(banded.join(groups, "band").filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    signed = candidates.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-    pairs = cut(signed.withColumn("similar", estimate(F.col("sa"), F.col("sb"))).filter(F.col("similar") >= ESTIMATE).select("a", "b", "similar"))
+    # The texts are exchanged once, whatever the number of candidates: sets of those are kept for both confirmations.
+    ids = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
+    sets = cut(sets_of(docs.join(ids.hint("merge"), "doc_id", "left_semi"), size).dropDuplicates(["node"]))
 
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("similar", -F.col("b"))).alias("b"))
-    links = cut(confirm(best, docs, size, percent))
-    labels = components(links)
-    rest = _labelled(pairs.join(best, ["a", "b"], "left_anti"), labels, "a", "b").filter("a_in <> b_in").select("a", "b")
-    links = cut(links.union(confirm(cut(rest), docs, size, percent)))
+    signed = candidates.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
+    pairs = signed.filter(estimate(F.col("sa"), F.col("sb")) >= ESTIMATE).select("a", "b")
+    links = cut(confirm(pairs, sets, percent))
     labels = components(links)
-    for final in (False, True):
-        open_, outside = _open(nodes, candidates, labels)
-        best = cut(_best_across(open_, outside))
-        if best.isEmpty():
-            break
-        looking = best.select(F.col("a").alias("node"))
-        links = cut(links.union(_across(open_, looking, docs, size, percent) if final else confirm(best, docs, size, percent)))
-        labels = components(links)
+    open_, outside = _open(nodes, candidates, labels)
+    looking = cut(_looking_across(open_, outside))
+    if not looking.isEmpty():
+        labels = components(links.union(_across(open_, looking, sets, percent)))
 
     copies = nodes.select("key_1", "key_2", "node")
     found = sketches.select("doc_id", "n_shingles", "key_1", "key_2").join(copies, ["key_1", "key_2"], "left").join(labels, "node", "left")

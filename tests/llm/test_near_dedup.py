@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from spindrift.llm import components as C
 from spindrift.llm import near_dedup as N
@@ -89,7 +90,28 @@ def test_estimate_follows_similarity():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_of_chains(spark, local):
     links = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(5, 5), (100, 7)]
-    got = {r.node: r.component for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(links, "a long, b long"), local=local).collect()}
     assert got == {i: i // 20 * 20 for i in range(61) if i // 20 * 20 < 60} | {100: 0}
+
+
+def test_components_of_a_long_shuffled_chain(spark, monkeypatch):
+    rounds = []
+    whole = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: (rounds.append(1), whole(df))[1])
+    n = 10_000
+    names = np.random.default_rng(0).permutation(n).tolist()
+    links = list(zip(names[:-1], names[1:], strict=True)) + [(n + 5, n + 3), (n + 3, n + 9)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = dict.fromkeys(range(n), 0) | dict.fromkeys((n + 3, n + 5, n + 9), n + 3)
+    for local in (0, 10**6):
+        assert {r.node: r.component for r in C.components(df, local=local).collect()} == want
+    assert len(rounds) <= 22
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_of_nothing(spark, local):
+    assert C.components(spark.createDataFrame([], "a long, b long"), local=local).count() == 0
+    assert C.components(spark.createDataFrame([(1, 1)], "a long, b long"), local=local).count() == 0
