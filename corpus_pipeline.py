@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from spindrift.llm.common import cut_table, table
+from spindrift.llm.common import cut, table
 
 #: Words of a shingle in near-dedup.
 SHINGLE = 5
@@ -36,7 +36,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(docs.columns)
+    """The rows of a shard stand together, in the order of its shuffle."""
+    mixed = mixing.mix(docs)
+    shard, place, _ = mixed.columns[len(docs.columns) :]
+    return mixed.sortWithinPartitions(shard, place).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut_table(docs)
+            docs = cut(docs)
     return docs
