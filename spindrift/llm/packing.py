@@ -5,8 +5,8 @@ sequence of its own. The other pieces are known to the driver only by their hist
 ``size - 1`` numbers): lengths are placed longest first, each into the sequences that are the
 shortest so far, and what is recorded is a few ranges "pieces of this length and these ranks stand
 in these sequences at this offset". The pieces find their place by their rank among pieces of equal
-length, which is counted in hashed buckets, so that a length held by a third of all pieces is
-ranked by many tasks.
+length, which is counted in hashed buckets whose number grows with the pieces, so that a length
+held by a third of all pieces is ranked by many tasks.
 
 Defined results
     null or empty text      one piece: the end id alone
@@ -26,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +36,8 @@ SIZE = 1024
 END_ID = 0
 #: Entries that one worker keeps of chunk -> ids; it starts anew beyond that.
 CACHE_ENTRIES = 600_000
-#: Hashed buckets in which pieces of one length are ranked.
-BUCKETS = 64
+#: Hashed buckets in which pieces of one length are ranked: so many at least, and one for so many pieces.
+BUCKETS, BUCKET_PIECES = 64, 250_000
 
 
 # ---- tokens ------------------------------------------------------------------------------------
@@ -124,23 +124,27 @@ class Encoder:
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, keep_ids: bool = False) -> DataFrame:
     """Per piece of a document: where it starts, its length, checksum, and the document's ids in all."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer, added=True)
         end = np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc, value in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (encode(value) if isinstance(value, str) else b"") + end
+            own, rows, kept = [], [], []
+            for k, value in enumerate(batch.column(1)):
+                ids = (encode(value.as_py()) if value.is_valid else b"") + end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start : 4 * (start + size)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), total) + ((np.frombuffer(part, "<u4").astype("i4"),) if keep_ids else ()))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": batch["doc_id"].dtype})
+                    own.append(k)
+                    rows.append((start, len(part) // 4, zlib.crc32(part), total))
+                    if keep_ids:
+                        kept.append(np.frombuffer(part, "<u4").astype("i4"))
+            columns = [batch.column(0).take(pa.array(own, pa.int64())), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []), names)
 
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = df.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
-    return df.mapInPandas(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
+    return df.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
 
 
 # ---- placing -----------------------------------------------------------------------------------
@@ -165,25 +169,30 @@ def place(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
                 shortest = packs[0][0] if packs else size
                 times = max(1, min(left // used, (size - filled) // length, 1 + (shortest - filled) // length))
             else:
-                # None has room: new sequences, one piece in each.
-                filled, first, used, times = 0, next_sequence, left, 1
-                next_sequence += left
-            ranges.append((length, rank, rank + used * times, first, used, filled))
-            rank, left = rank + used * times, left - used * times
-            if filled + length * times < size:
-                heapq.heappush(packs, (filled + length * times, first, used))
+                # None has room: new sequences, which stay the shortest until they are full.
+                used = -(-left // (size // length))
+                filled, first, times = 0, next_sequence, left // used
+                next_sequence += used
+            # The first of the sequences get one piece more, where there are no more sequences to fill.
+            more = 0 if filled else left - used * times
+            ranges.append((length, rank, rank + used * times + more, first, used, filled))
+            rank, left = rank + used * times + more, left - used * times - more
+            for at, n, held in ((first, more, filled + length * (times + 1)), (first + more, used - more, filled + length * times)):
+                if n and held < size:
+                    heapq.heappush(packs, (held, at, n))
     return ranges
 
 
-def pack(pieces_: DataFrame, size: int = SIZE, buckets: int = BUCKETS) -> DataFrame:
+def pack(pieces_: DataFrame, size: int = SIZE, buckets: int | None = None) -> DataFrame:
     """``pieces_`` (doc_id, start, length, ids_crc32, ...) with sequence_id and offset."""
     spark = pieces_.sparkSession
+    buckets = buckets or max(BUCKETS, pieces_.count() // BUCKET_PIECES)
     salted = pieces_.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     counts = cut(salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `size` rows
     ranges = place(histogram, size)
     places = spark.createDataFrame(ranges, "length long, _first long, _end long, _sequence long, _sequences long, _offset long")
-    # Two rows at most for each length and placing step: bounded by `size`, not by the data.
+    # A few rows for each length and placing step: bounded by `size`, not by the data.
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     among = Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32")

@@ -81,3 +81,26 @@ def test_added_tokens_equal_tokenizers(spark):
     for k, text in enumerate(texts[:8]):
         ids = np.array([*model.encode(text, add_special_tokens=False).ids, P.END_ID], "<u4")
         assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+@pytest.mark.parametrize("histogram, sequences", [({400: 1000}, 500), ({10: 1000}, 10), ({1024: 7}, 7), ({1000: 3, 10: 7}, 4), ({513: 2, 511: 2}, 2), ({100: 25}, 3)])
+def test_new_sequences_are_filled(histogram, sequences):
+    assert len(placed(histogram, 1024)) == sequences
+
+
+def test_padding_of_narrow_histograms():
+    rng = random.Random(5)
+    for _ in range(50):
+        low = rng.randint(1, 300)
+        histogram = {rng.randint(low, low + 60): rng.randint(1, 3000) for _ in range(rng.randint(1, 40))}
+        used = sum(k * n for k, n in histogram.items())
+        fewest = -(-sum(histogram.values()) // (1024 // min(histogram)))
+        assert len(placed(histogram, 1024)) <= max(fewest, -(-used // (1024 - max(histogram)))) + 1
+
+
+def test_ids_beside_a_null(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "x"), (7, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in P.pack_documents(df).collect()} == {big, None, 7}
+    kept = {r.doc_id: r.ids for r in P.pieces(df, P.default_tokenizer(), keep_ids=True).collect()}
+    assert kept[7] == [P.END_ID] and len(kept[big]) == 3
