@@ -2,24 +2,29 @@
 
 Which 50-byte windows could be equal is settled by content first. A window's anchor is the least
 hash of its 35 grams of 16 bytes, so equal windows have equal anchors, and neighbouring windows
-mostly share theirs: a run of windows with one anchor is a snippet of the text.
-
-1.  Anchors (48 bits of hash) with the shard of their document (a hash of it) are counted in
-    buckets; those that occur in one document only are out, with all their windows.
-2.  Each shard of documents cuts out the snippets of the anchors that are left; equal snippets of
-    a shard travel once, with the list of where they stand there.
-3.  By anchor, snippets meet in content shards. Equal snippets of different shards are merged by
-    a dictionary of the distinct ones. Of the distinct ones a suffix array is built in
-    numpy (Larsson-Sadakane: groups that are still undecided are refined by the ranks h bytes on,
-    with h doubling), then the common prefixes by Kasai's order: along runs of the text where the
-    preceding suffix also moves on by one, a prefix is one shorter than the last. Neighbours with
-    50 bytes in common form groups; the least document id of a group decides for all its windows.
-4.  The spans of each document are merged and cut out.
+mostly share theirs: a run of windows with one anchor is a snippet of the text, some 70 bytes.
+
+The texts are exchanged once, by shards of documents; all steps below read that one exchange. What
+travels between the shards and the buckets of anchors is packed numbers, never places in texts.
+
+1.  Shards send their anchors. Buckets tell which occur in two documents; all windows of the others
+    are out.
+2.  Shards send what they have of those: anchor, digest of the snippet, least document id. Where all
+    snippets of an anchor are the same, its least document id decides for all its windows.
+3.  Where they differ (the ends of passages, mostly), shards send the snippets. A bucket puts the
+    sorted lists of its shards together by binary search, builds suffix arrays over the distinct
+    snippets in numpy (Larsson-Sadakane: groups that are still undecided are refined by the ranks h
+    bytes on, with h doubling) and their common prefixes by Kasai's order: along runs of the text
+    where the preceding suffix also moves on by one, a prefix is one shorter than the last.
+    Neighbours with 50 bytes in common are equal windows; the least document id that holds one
+    decides. Arrays are of bounded size; those that share an anchor are merged by binary search of
+    one's sorted windows in the other's.
+4.  Shards merge the spans that go and cut them out.
 
 Defined results
     null or empty text      no bytes, no spans
     null ids                take no part: nothing is removed, and they remove nothing
-    very long text          one row; arrays of some tens of bytes for each of its bytes
+    very long text          one row, taken in overlapping pieces
     repeated rows           equal ids don't remove from each other; each row loses its own spans
     empty table             an empty result
     extra columns           not read
@@ -35,13 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
-from .shingles import mix
+from .common import table, text_or_empty
+from .shingles import _RANDOM, _tables, mix
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text in a shard of documents, in a bucket of anchors or snippets, and in one suffix array.
-SHARD_BYTES, ARRAY_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20, 1 << 20
-SHARD_BITS = 16
+#: Bytes of a shard of documents (as many as the table needs, up to MANY; then they grow, up to the
+#: second figure), of a suffix array, and of what is hashed at once; windows of a snippet.
+SHARD_BYTES, MANY, ARRAY_BYTES, PIECE_BYTES, RUN = (16 << 20, 256 << 20), 4096, 2 << 20, 1 << 18, 64
+CODE, DIGEST = 5, 6  # bytes
 
 
 def words_at(data: bytes, order: str = "<") -> np.ndarray:
@@ -49,13 +55,28 @@ def words_at(data: bytes, order: str = "<") -> np.ndarray:
     return np.ndarray((len(data),), f"{order}u8", data + bytes(8), 0, (1,)).astype(np.uint64)
 
 
-def runs(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, document, first window, last window) of every run of windows with one anchor."""
-    data = b"".join(docs)
-    bounds = np.cumsum([0] + [len(d) for d in docs])
+def pieces(texts) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of (row, offset, bytes); every window stands in one piece."""
+    group, held = [], 0
+    for k, t in enumerate(texts):
+        for at in range(0, len(t) - LENGTH + 1, PIECE_BYTES):
+            part = t[at : at + PIECE_BYTES + LENGTH - 1]
+            group.append((k, at, part))
+            held += len(part)
+            if held >= PIECE_BYTES:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def runs(group: list[tuple[int, int, bytes]]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The group's bytes, and of every run of windows with one anchor: anchor, row, first window in
+    the row's text, first window in the bytes, windows."""
+    data = b"".join(part for _, _, part in group)
+    sizes = np.array([len(part) for _, _, part in group])
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
     n = len(data) - LENGTH + 1
-    if n <= 0:
-        return tuple(np.zeros(0, dtype=t) for t in ("u8", "i8", "i8", "i8"))
     word = words_at(data)
     low = mix(word[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ mix(word[8:]))[: len(data) - GRAM + 1]
     span, reach = 1, LENGTH - GRAM + 1
@@ -63,28 +84,33 @@ def runs(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < reach:
-        low = np.minimum(low[: n], low[reach - span :][:n])
-    low = low[:n] >> np.uint64(SHARD_BITS)
-    doc = np.repeat(np.arange(len(docs)), np.diff(bounds))[:n]
-    inside = np.arange(n) + LENGTH <= bounds[doc + 1]
-    new = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | ~inside[1:]))
-    starts = np.flatnonzero(new)
-    stops = np.concatenate((starts[1:], [n])) - 1
-    good = inside[starts]
-    starts, stops = starts[good], stops[good]
-    return low[starts], doc[starts], starts - bounds[doc[starts]], stops - bounds[doc[starts]]
-
-
-def chunks(texts) -> Iterator[tuple[int, list[bytes]]]:
-    group, held, first = [], 0, 0
-    for k, t in enumerate(texts):
-        group.append(t)
-        held += len(t)
-        if held >= CHUNK_BYTES:
-            yield first, group
-            group, held, first = [], 0, k + 1
-    if group:
-        yield first, group
+        low = np.minimum(low[:n], low[reach - span :][:n])
+    low = low[:n]
+    first = np.zeros(n + 1, dtype=bool)  # where a run starts, and where windows that cross pieces do
+    first[1:n] = low[1:] != low[:-1]
+    crossing = np.concatenate([bounds[1:] - LENGTH + 1, bounds])
+    first[crossing[(crossing >= 0) & (crossing <= n)]] = True
+    first[n] = False
+    starts = np.flatnonzero(first)
+    stops = np.concatenate((starts[1:], [n]))
+    piece = np.searchsorted(bounds, starts, "right") - 1
+    inside = (piece < len(group)) & (starts + LENGTH <= bounds[np.minimum(piece + 1, len(group))])
+    starts, stops, piece = starts[inside], stops[inside], piece[inside]
+    parts = -(-(stops - starts) // RUN)
+    if (parts > 1).any():  # periodic texts: a run every RUN windows
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, stops, piece = np.repeat(starts, parts) + RUN * nth, np.repeat(stops, parts), np.repeat(piece, parts)
+        stops = np.minimum(starts + RUN, stops)
+    rows, offsets = np.array([k for k, _, _ in group]), np.array([at for _, at, _ in group])
+    return data, mix(low[starts]), rows[piece], starts - bounds[piece] + offsets[piece], starts, stops - starts
+
+
+def digests(data: bytes, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of each snippet, 48 bits of a hash of its bytes."""
+    up, down = _tables(len(data))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_RANDOM[np.frombuffer(data, dtype=np.uint8)] * up[: len(data)], dtype=np.uint64)))
+    size = windows + LENGTH - 1
+    return mix((sums[starts + size] - sums[starts]) * down[starts] + size.astype(np.uint64)) >> np.uint64(64 - 8 * DIGEST)
 
 
 # ---- suffix arrays -------------------------------------------------------------------------------
@@ -147,153 +173,331 @@ def common_prefixes(data: bytes, order: np.ndarray, cap: int = LENGTH) -> np.nda
     return np.minimum(out, cap)[order]
 
 
+def common(keys: list[np.ndarray], least: list[np.ndarray]) -> list[np.ndarray]:
+    """Sorted arrays of distinct windows with the least document id of each: the least over all arrays,
+    by binary search of each one's windows in the others'."""
+    out = [x.copy() for x in least]
+    for i, own in enumerate(keys):
+        for j, other in enumerate(keys):
+            if i != j and len(own) and len(other):
+                at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                out[i] = np.minimum(out[i], np.where(other[at] == own, least[j][at], out[i]))
+    return out
+
+
+class Array:
+    """The suffix array of some distinct snippets: their windows in order, in groups of equal ones."""
+
+    def __init__(self, snippets: list[bytes], least: np.ndarray):
+        self.data = b"".join(snippets)
+        sizes = np.array([len(s) for s in snippets])
+        begins = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(snippets)), sizes)
+        self.is_window = np.arange(len(self.data)) - begins[owner] + LENGTH <= sizes[owner]
+        order = suffix_array(self.data)
+        group = np.cumsum(common_prefixes(self.data, order) < LENGTH) - 1
+        kept = self.is_window[order]
+        self.order, group = order[kept], group[kept]
+        first = np.concatenate(([True], group[1:] != group[:-1]))
+        self.group, self.firsts = np.cumsum(first) - 1, np.flatnonzero(first)
+        self.least = np.minimum.reduceat(least[owner[self.order]], self.firsts)
+
+    def keys(self) -> np.ndarray:
+        """The distinct windows, sorted."""
+        all_ = np.ndarray((len(self.data) - LENGTH + 1,), f"S{LENGTH}", self.data, 0, (1,))
+        return all_[self.order[self.firsts]]
+
+    def by_window(self) -> np.ndarray:
+        """For every window, in the order of the snippets: the least document id that holds it."""
+        out = np.empty(len(self.data), dtype=np.int64)
+        out[self.order] = self.least[self.group]
+        return out[self.is_window]
+
+
 def least_by_window(snippets: list[bytes], least: np.ndarray) -> np.ndarray:
-    """For every window of the distinct ``snippets``, in order: the least document id that holds it."""
-    data = b"".join(snippets)
-    sizes = np.array([len(s) for s in snippets])
-    begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(snippets)), sizes)
-    window = np.arange(len(data)) - begins[owner] + LENGTH <= sizes[owner]
-    order = suffix_array(data)
-    group = np.cumsum(common_prefixes(data, order) < LENGTH) - 1
-    kept = window[order]
-    order, group = order[kept], group[kept]
-    first = np.concatenate(([True], group[1:] != group[:-1]))
-    lowest = np.minimum.reduceat(least[owner[order]], np.flatnonzero(first))
-    out = np.empty(len(data), dtype=np.int64)
-    out[order] = lowest[np.cumsum(first) - 1]
-    return out[window]
-
-
-# ---- stages --------------------------------------------------------------------------------------
-
-
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.to_pylist()]
-
-
-def _anchors(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            for first, group in chunks(_texts(batch.column("data"))):
-                anchor, doc, _, _ = runs(group)
-                order = np.lexsort((doc, anchor))
-                anchor, doc = anchor[order], doc[order]
-                once = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(anchor) else np.zeros(0, bool)
-                anchor, doc = anchor[once], doc[once]
-                packed = (anchor << np.uint64(SHARD_BITS)) | shards[first + doc].astype(np.uint64)
-                packed.sort()
-                thrice = np.concatenate(([False, False], (packed[2:] == packed[:-2]))) if len(packed) > 2 else np.zeros(len(packed), bool)
-                packed = packed[~thrice]  # twice in a shard says as much as more often
-                bucket = (packed >> np.uint64(SHARD_BITS)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                parts = [packed[order[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-                some = [k for k, p in enumerate(parts) if p]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k] for k in some], pa.binary())], ["bucket", "packed"])
+    """For every window of the distinct ``snippets``, in order: the least document id that holds it.
+
+    Arrays are built over ARRAY_BYTES of snippets at a time and merged."""
+    sizes = np.cumsum([len(s) for s in snippets])
+    cuts = np.flatnonzero(np.diff(sizes // ARRAY_BYTES, prepend=0))
+    bounds = [0, *cuts[cuts > 0].tolist(), len(snippets)]
+    arrays = [Array(snippets[a:b], least[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    if len(arrays) > 1:
+        for array, found in zip(arrays, common([a.keys() for a in arrays], [a.least for a in arrays]), strict=True):
+            array.least = found
+    return np.concatenate([a.by_window() for a in arrays])
+
+
+# ---- what travels --------------------------------------------------------------------------------
+
+
+def packed(values: np.ndarray, size: int) -> np.ndarray:
+    """Numbers as rows of ``size`` big-endian bytes, so that rows sort as the numbers do."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :])
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, size)
+    out = np.zeros((len(rows), 8), dtype=np.uint8)
+    out[:, 8 - size :] = rows
+    return out.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _named(anchor: np.ndarray, shards: int) -> np.ndarray:
+    """Anchors as bucket + shards * code; the code is what travels to the bucket."""
+    n = np.uint64(shards)
+    return (anchor // n & np.uint64((1 << 8 * CODE) - 1)) * n + anchor % n
+
+
+def _snippet_keys(code: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """(code, digest) as sortable strings of bytes."""
+    both = np.concatenate((packed(code, CODE), packed(digest, DIGEST)), 1)
+    return np.ascontiguousarray(both).view(f"S{CODE + DIGEST}").reshape(-1)
+
+
+class Shard:
+    """The documents of a shard as arrays of runs, for the steps that follow the anchors."""
+
+    def __init__(self, docs: pa.Table, shards: int):
+        self.shards = shards
+        self.texts = [x or b"" for x in docs.column("data").to_pylist()]
+        self.ids = docs.column("rank").fill_null(0).to_numpy()
+        self.takes_part = docs.column("rank").is_valid().to_numpy(zero_copy_only=False)
+
+    def groups(self) -> Iterator[list[tuple[int, int, bytes]]]:
+        return pieces(t if p else b"" for t, p in zip(self.texts, self.takes_part, strict=True))
+
+    def anchors(self) -> np.ndarray:
+        """Named anchors, once or, if they occur in more documents, twice."""
+        found = []
+        for group in self.groups():
+            _, anchor, row, _, _, _ = runs(group)
+            name = _named(anchor, self.shards)
+            order = np.lexsort((row, name))
+            name, row = name[order], row[order]
+            found.append(name[np.concatenate(([True], (name[1:] != name[:-1]) | (row[1:] != row[:-1])))] if len(name) else name)
+        names = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        return names[np.concatenate(([True, True], names[2:] != names[:-2]))] if len(names) > 2 else names
+
+    def marked(self, names: np.ndarray, digest: bool = True, snippets: bool = False):
+        """Of the runs whose anchor is among the sorted ``names``, group by group: name, digest, row,
+        first window, windows, and if asked for, the snippets."""
+        if not len(names):
+            return
+        for group in self.groups():
+            data, anchor, row, first, start, windows = runs(group)
+            name = _named(anchor, self.shards)
+            hit = np.flatnonzero(names[np.minimum(np.searchsorted(names, name), len(names) - 1)] == name)
+            if len(hit):
+                name, row, first, start, windows = name[hit], row[hit], first[hit], start[hit], windows[hit]
+                cut_out = [data[s : s + w + LENGTH - 1] for s, w in zip(start.tolist(), windows.tolist(), strict=True)] if snippets else None
+                yield name, digests(data, start, windows) if digest else None, row, first, windows, cut_out
+
+
+def _by_bucket(name: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Buckets with their parts of ``name``, which is sorted by bucket."""
+    bucket = name % np.uint64(shards)
+    starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(bucket)], strict=False):
+        yield int(bucket[a]), slice(int(a), int(b))
+
+
+def _table(kinds: dict, rows: list[tuple]) -> pa.Table:
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds.items())})
+
+
+_ANCHORS = {"bucket": pa.int32(), "shard": pa.int32(), "codes": pa.binary()}
+_REPEATED = {"shard": pa.int32(), "bucket": pa.int32(), "codes": pa.binary()}
+_ENTRIES = {"bucket": pa.int32(), "shard": pa.int32(), "codes": pa.binary(), "digests": pa.binary(), "ids": pa.binary()}
+_SNIPPETS = _ENTRIES | {"sizes": pa.binary(), "snippets": pa.binary()}
+#: Per code of the shard: whether its snippets differ, else the least id; or per snippet (code and digest) its spans of windows.
+_DECIDED = {"shard": pa.int32(), "bucket": pa.int32(), "codes": pa.binary(), "differ": pa.binary(), "digests": pa.binary(), "counts": pa.binary(), "windows": pa.binary(), "ids": pa.binary()}
+
+
+def _ddl(kinds: dict) -> str:
+    return ", ".join(f"{c} {'int' if t == pa.int32() else 'binary'}" for c, t in kinds.items())
+
+
+def _anchors(shards: int):
+    def run(docs: pa.Table) -> pa.Table:
+        names = Shard(docs, shards).anchors()
+        names = names[np.argsort(names % np.uint64(shards), kind="stable")]
+        own = docs.column("shard")[0].as_py()
+        return _table(_ANCHORS, [(b, own, packed(names[s] // np.uint64(shards), CODE).tobytes()) for b, s in _by_bucket(names, shards)])
 
     return run
 
 
 def _repeated(group: pa.Table) -> pa.Table:
-    packed = np.sort(np.frombuffer(b"".join(group.column("packed").to_pylist()), dtype=np.uint64))
-    anchor, shard = packed >> np.uint64(SHARD_BITS), (packed & np.uint64((1 << SHARD_BITS) - 1)).astype(np.int64)
-    equal = anchor[1:] == anchor[:-1]
-    often = np.concatenate((equal, [False])) | np.concatenate(([False], equal)) if len(packed) else np.zeros(0, bool)
-    anchor, shard = anchor[often], shard[often]
-    order = np.lexsort((anchor, shard))
-    anchor, shard = anchor[order], shard[order]
-    own, at = np.unique(shard, return_index=True)
-    parts = [np.unique(a).tobytes() for a in np.split(anchor, at[1:])] if len(own) else []
-    return pa.table({"shard": pa.array(own, pa.int32()), "anchors": pa.array(parts, pa.binary())})
-
-
-def _snippets(buckets: int):
-    def run(docs: pa.Table, marked: pa.Table) -> pa.Table:
-        anchors = np.unique(np.frombuffer(b"".join(marked.column("anchors").to_pylist()), dtype=np.uint64)) if marked.num_rows else np.zeros(0, np.uint64)
-        held: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-        if len(anchors) and docs.num_rows:
-            keys, ids = docs.column("key").to_numpy(), docs.column("doc_id").to_numpy()
-            for first, group in chunks(_texts(docs.column("data").combine_chunks())):
-                anchor, doc, start, stop = runs(group)
-                at = np.minimum(np.searchsorted(anchors, anchor), len(anchors) - 1)
-                hit = np.flatnonzero(anchors[at] == anchor)
-                for a, d, s, e in zip(anchor[hit].tolist(), doc[hit].tolist(), start[hit].tolist(), stop[hit].tolist(), strict=True):
-                    held.setdefault((a, group[d][s : e + LENGTH]), []).append((first + d, s))
-            flat = [np.array(v, dtype=np.int64) for v in held.values()]
+    lists = [unpacked(x, CODE) for x in group.column("codes").to_pylist()]
+    every = np.sort(np.concatenate(lists))
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    rows = []
+    if len(twice):
+        bucket = group.column("bucket")[0].as_py()
+        for shard, codes in zip(group.column("shard").to_pylist(), lists, strict=True):
+            codes = np.unique(codes)
+            codes = codes[twice[np.minimum(np.searchsorted(twice, codes), len(twice) - 1)] == codes]
+            if len(codes):
+                rows.append((shard, bucket, packed(codes, CODE).tobytes()))
+    return _table(_REPEATED, rows)
+
+
+def _names(replies: pa.Table, shards: int, kept=lambda k: slice(None)) -> np.ndarray:
+    """Sorted names of the anchors in replies to a shard."""
+    found = [unpacked(c, CODE)[kept(k)] * np.uint64(shards) + np.uint64(b) for k, (b, c) in enumerate(zip(replies.column("bucket").to_pylist(), replies.column("codes").to_pylist(), strict=True))]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _distinct(parts: list, ids: np.ndarray, shards: int) -> tuple:
+    """The distinct snippets of a shard by bucket, code and digest: names, digests, least ids, and where they stand in ``parts``."""
+    name, digest = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    own = np.concatenate([ids[p[2]] for p in parts])
+    order = np.lexsort((own, digest, name, name % np.uint64(shards)))
+    name, digest, own = name[order], digest[order], own[order]
+    first = np.concatenate(([True], (name[1:] != name[:-1]) | (digest[1:] != digest[:-1])))
+    return name[first], digest[first], own[first], order[first]
+
+
+def _entries(shards: int, snippets: bool):
+    """What a shard has of the anchors that buckets have asked for; with the snippets where they differ."""
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        kinds = _SNIPPETS if snippets else _ENTRIES
+        if not docs.num_rows or not replies.num_rows:
+            return _table(kinds, [])
+        if snippets:
+            differ = replies.column("differ").to_pylist()
+            names = _names(replies, shards, lambda k: np.frombuffer(differ[k], dtype=bool))
         else:
-            flat = []
-        return pa.table(
-            {
-                "bucket": pa.array([a % buckets for a, _ in held], pa.int32()),
-                "anchor": pa.array([a for a, _ in held], pa.int64()),
-                "snippet": pa.array([s for _, s in held], pa.binary()),
-                "ids": pa.array([ids[f[:, 0]].tobytes() for f in flat], pa.binary()),
-                "keys": pa.array([keys[f[:, 0]].tobytes() for f in flat], pa.binary()),
-                "starts": pa.array([f[:, 1].tobytes() for f in flat], pa.binary()),
-            }
-        )
+            names = _names(replies, shards)
+        shard, own = Shard(docs, shards), docs.column("shard")[0].as_py()
+        parts = list(shard.marked(names, snippets=snippets))
+        if not parts:
+            return _table(kinds, [])
+        name, digest, ids, at = _distinct(parts, shard.ids, shards)
+        texts = [t for p in parts for t in p[5]] if snippets else []
+        rows = []
+        for bucket, s in _by_bucket(name, shards):
+            row = (bucket, own, packed(name[s] // np.uint64(shards), CODE).tobytes(), packed(digest[s], DIGEST).tobytes(), ids[s].astype("<i8").tobytes())
+            if snippets:
+                some = [texts[i] for i in at[s].tolist()]
+                row += (bytes(map(len, some)), b"".join(some))
+            rows.append(row)
+        return _table(kinds, rows)
 
     return run
 
 
+def _lists(group: pa.Table) -> tuple[list, list, list]:
+    columns = (group.column(c).to_pylist() for c in ("codes", "digests", "ids"))
+    found = [(unpacked(c, CODE), unpacked(d, DIGEST), np.frombuffer(i, dtype="<i8")) for c, d, i in zip(*columns, strict=True)]
+    return [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
+
+
+def _agree(group: pa.Table) -> pa.Table:
+    """Per code: whether its snippets differ, and if not, the least id."""
+    codes, digest, ids = _lists(group)
+    every, all_digests, all_ids = np.concatenate(codes), np.concatenate(digest), np.concatenate(ids)
+    order = np.argsort(every, kind="stable")
+    every, all_digests, all_ids = every[order], all_digests[order], all_ids[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    known, least = every[first], np.minimum.reduceat(all_ids, first)
+    differ = np.minimum.reduceat(all_digests, first) != np.maximum.reduceat(all_digests, first)
+    rows, bucket = [], group.column("bucket")[0].as_py()
+    for shard, own in zip(group.column("shard").to_pylist(), codes, strict=True):
+        own = np.unique(own)
+        at = np.searchsorted(known, own)
+        rows.append((shard, bucket, packed(own, CODE).tobytes(), differ[at].tobytes(), None, None, None, least[at].astype("<i8").tobytes()))
+    return _table(_DECIDED, rows)
+
+
 def _decide(group: pa.Table) -> pa.Table:
-    """The spans to remove, from all snippets of a bucket, in blocks of whole anchors."""
-    anchor = group.column("anchor").to_numpy()
-    snippet, ids, keys, starts = (group.column(c).to_pylist() for c in ("snippet", "ids", "keys", "starts"))
-    order = sorted(range(len(snippet)), key=lambda r: (anchor[r], snippet[r]))
-    out, at = [], 0
-    while at < len(order):
-        stop, size = at, 0
-        while stop < len(order) and (size < ARRAY_BYTES or anchor[order[stop]] == anchor[order[stop - 1]]):
-            size += len(snippet[order[stop]])
-            stop += 1
-        rows = order[at:stop]
+    """Per snippet: the spans of its windows that have one least id."""
+    codes, digest, ids = _lists(group)
+    sizes = [np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in group.column("sizes").to_pylist()]
+    texts = group.column("snippets").to_pylist()
+    keys = [_snippet_keys(c, d) for c, d in zip(codes, digest, strict=True)]
+    # The lists of all shards in one: each is sorted, and finds its place by binary search.
+    distinct = np.unique(np.concatenate(keys))
+    places = [np.searchsorted(distinct, k) for k in keys]
+    snippets: list[bytes] = [b""] * len(distinct)
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    for place, size, text, own in zip(places, sizes, texts, ids, strict=True):
+        np.minimum.at(least, place, own)
+        ends = np.cumsum(size)
+        for p, a, b in zip(place.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
+            snippets[p] = text[a:b]
+    # Whole codes at a time, as long as they are small.
+    code = np.frombuffer(distinct.tobytes(), dtype=np.uint8).reshape(-1, CODE + DIGEST)[:, :CODE]
+    new = np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1
+    held = np.cumsum([0] + [len(s) for s in snippets])
+    bounds, at = [0], 0
+    for stop in [*new.tolist(), len(snippets)]:
+        if held[stop] - held[bounds[-1]] > ARRAY_BYTES and at > bounds[-1]:
+            bounds.append(at)
         at = stop
-        distinct = sorted({snippet[r] for r in rows})
-        table_ = np.array([len(s) for s in distinct])
-        index = {s: k for k, s in enumerate(distinct)}
-        which = np.array([index[snippet[r]] for r in rows])
-        docs = [np.frombuffer(ids[r], dtype=np.int64) for r in rows]
-        least = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, np.array([d.min() for d in docs]))
-        lowest = least_by_window(distinct, least)
-        windows = table_ - LENGTH + 1
-        begin = np.cumsum(windows) - windows
-        # Segments of windows of one snippet with one least id.
-        of = np.repeat(np.arange(len(distinct)), windows)
-        new = np.concatenate(([True], (lowest[1:] != lowest[:-1]) | (of[1:] != of[:-1])))
-        seg = np.flatnonzero(new)
-        seg_stop = np.concatenate((seg[1:], [len(lowest)]))
-        seg_of, seg_low = of[seg], lowest[seg]
-        seg_from, seg_to = seg - begin[seg_of], seg_stop - begin[seg_of] + LENGTH - 1
-        seg_first, seg_count = np.searchsorted(seg_of, np.arange(len(distinct))), np.bincount(seg_of, minlength=len(distinct))
-        counts = np.array([len(d) for d in docs])
-        doc, key = np.concatenate(docs), np.concatenate([np.frombuffer(keys[r], dtype=np.int64) for r in rows])
-        start = np.concatenate([np.frombuffer(starts[r], dtype=np.int64) for r in rows])
-        u = np.repeat(which, counts)
-        times = seg_count[u]
-        place = np.repeat(np.arange(len(u)), times)
-        s = np.repeat(seg_first[u] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        gone = seg_low[s] < doc[place]
-        place, s = place[gone], s[gone]
-        out.append((key[place], start[place] + seg_from[s], start[place] + seg_to[s]))
-    columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("key", "start", "stop"), columns, strict=True)})
-
-
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """key, spans (start, stop) of what goes, from (key, doc_id, data); ``data`` is binary."""
-    rows = rows.filter(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    size = rows.agg(F.sum(F.length("data"))).first()[0] or 0
-    shards = int(min(1 << SHARD_BITS, max(8, size // SHARD_BYTES)))
-    sharded = rows.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-    anchors = sharded.select("shard", "data").mapInArrow(_anchors(shards), "bucket int, packed binary")
-    repeated = cut(anchors.groupBy("bucket").applyInArrow(_repeated, "shard int, anchors binary"))
-    snippets = sharded.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_snippets(shards), "bucket int, anchor long, snippet binary, ids binary, keys binary, starts binary")
-    spans = snippets.groupBy("bucket").applyInArrow(_decide, "key long, start long, stop long")
-    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    bounds.append(len(snippets))
+    lowest = np.concatenate([least_by_window(snippets[a:b], least[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+    windows = np.diff(held) - LENGTH + 1
+    of = np.repeat(np.arange(len(distinct)), windows)
+    seg = np.flatnonzero(np.concatenate(([True], (lowest[1:] != lowest[:-1]) | (of[1:] != of[:-1]))))
+    seg_windows = np.diff(np.concatenate((seg, [len(lowest)]))).astype(np.uint8)
+    counts = np.bincount(of[seg], minlength=len(distinct))
+    begin = np.cumsum(counts) - counts
+    rows, bucket = [], group.column("bucket")[0].as_py()
+    for shard, place, c, d in zip(group.column("shard").to_pylist(), places, codes, digest, strict=True):
+        n = counts[place]
+        at = np.repeat(begin[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append((shard, bucket, packed(c, CODE).tobytes(), None, packed(d, DIGEST).tobytes(), n.astype(np.uint8).tobytes(), seg_windows[at].tobytes(), lowest[seg[at]].astype("<i8").tobytes()))
+    return _table(_DECIDED, rows)
+
+
+def _spans(shard: Shard, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the bytes that go."""
+    n = np.uint64(shard.shards)
+    names, differ, least, keys, counts, windows, ids = ([] for _ in range(7))
+    for r in replies.to_pylist():
+        code = unpacked(r["codes"], CODE)
+        if r["digests"] is None:
+            names.append(code * n + np.uint64(r["bucket"]))
+            differ.append(np.frombuffer(r["differ"], dtype=bool))
+            least.append(np.frombuffer(r["ids"], dtype="<i8"))
+        else:
+            name = code * n + np.uint64(r["bucket"])
+            keys.append(np.concatenate((packed(name, 8), packed(unpacked(r["digests"], DIGEST), DIGEST)), 1))
+            counts.append(np.frombuffer(r["counts"], dtype=np.uint8))
+            windows.append(np.frombuffer(r["windows"], dtype=np.uint8))
+            ids.append(np.frombuffer(r["ids"], dtype="<i8"))
+    out = [np.zeros((0, 3), dtype=np.int64)]
+    if names:
+        names, differ, least = np.concatenate(names), np.concatenate(differ), np.concatenate(least)
+        order = np.argsort(names)
+        names, differ, least = names[order], differ[order], least[order]
+        if keys:
+            keys = np.ascontiguousarray(np.concatenate(keys)).view(f"S{8 + DIGEST}").reshape(-1)
+            counts, windows, ids = np.concatenate(counts).astype(np.int64), np.concatenate(windows).astype(np.int64), np.concatenate(ids)
+            begin = np.cumsum(counts) - counts
+            order = np.argsort(keys)
+            keys, counts, begin = keys[order], counts[order], begin[order]
+            before = np.cumsum(windows) - windows  # windows ahead, over all spans
+        for name, digest, row, first, size, _ in shard.marked(names):
+            at = np.searchsorted(names, name)
+            own = shard.ids[row]
+            same = ~differ[at] & (least[at] < own)
+            out.append(np.stack((row[same], first[same], first[same] + size[same] + LENGTH - 1), 1))
+            odd = np.flatnonzero(differ[at])
+            if len(odd):
+                key = np.ascontiguousarray(np.concatenate((packed(name[odd], 8), packed(digest[odd], DIGEST)), 1)).view(f"S{8 + DIGEST}").reshape(-1)
+                place = np.searchsorted(keys, key)
+                times = counts[place]
+                seg = np.repeat(begin[place] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                run = np.repeat(odd, times)
+                start = first[run] + before[seg] - np.repeat(before[begin[place]], times)
+                gone = ids[seg] < own[run]
+                out.append(np.stack((row[run][gone], start[gone], (start + windows[seg] + LENGTH - 1)[gone]), 1))
+    found = np.concatenate(out)
+    return found[:, 0], found[:, 1], found[:, 2]
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -309,29 +513,42 @@ def merge(spans: np.ndarray) -> np.ndarray:
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that are left."""
     data = text_or_empty(text).cast("binary")
-    rows = docs.select(F.xxhash64(F.col(doc_id), data).alias("key"), F.col(doc_id).alias("doc_id"), data.alias("data"))
-    joined = rows.join(repeated_spans(rows), "key", "left").select("doc_id", "data", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, kept = [], []
-            for value, start, stop in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                whole = value.as_py() or b""
-                spans = merge(np.stack((start.values.to_numpy(), stop.values.to_numpy()), 1)) if start.is_valid else np.zeros((0, 2), np.int64)
-                at, parts = 0, []
-                for a, b in spans.tolist():
-                    parts.append(whole[at:a])
-                    at = b
-                left = b"".join((*parts, whole[at:]))
-                counts.append((len(whole), len(whole) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
-                if keep_text:
-                    kept.append(left)
-            columns = [batch.column(0), *(pa.array([c[i] for c in counts], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept, pa.binary())] if keep_text else []), names)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = int(max(8, size // min(SHARD_BYTES[1], max(SHARD_BYTES[0], size // MANY))))
+    shard = F.pmod(F.xxhash64(F.col(doc_id), data), F.lit(shards)).cast("int").alias("shard")
+    rows = docs.select(shard, F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("rank"), data.alias("data"))
+    by_shard = lambda df: rows.groupBy("shard").cogroup(df.groupBy("shard"))  # noqa: E731  the texts' exchange is the same each time
+
+    anchors = rows.groupBy("shard").applyInArrow(_anchors(shards), _ddl(_ANCHORS))
+    repeated = anchors.groupBy("bucket").applyInArrow(_repeated, _ddl(_REPEATED))
+    entries = by_shard(repeated).applyInArrow(_entries(shards, False), _ddl(_ENTRIES))
+    agreed = entries.groupBy("bucket").applyInArrow(_agree, _ddl(_DECIDED))
+    snippets = by_shard(agreed).applyInArrow(_entries(shards, True), _ddl(_SNIPPETS))
+    decided = agreed.union(snippets.groupBy("bucket").applyInArrow(_decide, _ddl(_DECIDED)))
+
+    def run(own: pa.Table, replies: pa.Table) -> pa.Table:
+        part = Shard(own, shards)
+        row, start, stop = _spans(part, replies)
+        order = np.argsort(row, kind="stable")
+        row, start, stop = row[order], start[order], stop[order]
+        bounds = np.searchsorted(row, np.arange(len(part.texts) + 1))
+        counts, kept = [], []
+        for k, whole in enumerate(part.texts):
+            spans = merge(np.stack((start[bounds[k] : bounds[k + 1]], stop[bounds[k] : bounds[k + 1]]), 1))
+            at, left = 0, []
+            for a, b in spans.tolist():
+                left.append(whole[at:a])
+                at = b
+            left = b"".join((*left, whole[at:]))
+            counts.append((len(whole), len(whole) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
+            if keep_text:
+                kept.append(left)
+        columns = [own.column("doc_id"), *(pa.array([c[i] for c in counts], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))]
+        return pa.table(columns + ([pa.array(kept, pa.binary())] if keep_text else []), names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return by_shard(decided).applyInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
 
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:

@@ -67,3 +67,50 @@ def test_against_brute_force(spark):
         got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.remove(df).collect())
         assert got == brute(rows)
     assert R.remove(df.limit(0)).count() == 0
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab ") for _ in range(rng.choice([0, 10, 49, 50, 51, 700]))) for _ in range(40)]
+    want = sorted(b for t in texts for b in (t[i : i + 50] for i in range(len(t) - 49)))
+    monkeypatch.setattr(R, "PIECE_BYTES", 64)
+    got = []
+    for group in R.pieces(texts):
+        data, _, row, first, start, windows = R.runs(group)
+        for r, f, s, w in zip(row.tolist(), first.tolist(), start.tolist(), windows.tolist()):
+            assert 0 < w <= R.RUN and texts[r][f : f + w + 49] == data[s : s + w + 49]
+            got += [data[s + k : s + k + 50] for k in range(w)]
+    assert sorted(got) == want
+
+
+def test_arrays_merge_by_binary_search(monkeypatch):
+    rng = random.Random(7)
+    pool = [bytes(rng.choice(b"abc\0") for _ in range(120)) for _ in range(6)]
+    snippets = sorted({p[a : a + rng.randint(50, 100)] for p in pool for a in range(0, 60, 7)} - {b""})
+    snippets = [s for s in snippets if len(s) >= 50]
+    least = np.array([rng.randrange(100) for _ in snippets])
+    held = {}
+    for s, i in zip(snippets, least.tolist()):
+        for k in range(len(s) - 49):
+            held[s[k : k + 50]] = min(i, held.get(s[k : k + 50], i))
+    want = [held[s[k : k + 50]] for s in snippets for k in range(len(s) - 49)]
+    for size in (1 << 20, 500, 60):
+        monkeypatch.setattr(R, "ARRAY_BYTES", size)
+        assert R.least_by_window(snippets, least).tolist() == want
+
+
+def test_small_arrays_pieces_and_many_shards(spark, monkeypatch):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(R, "SHARD_BYTES", (1500, 3000))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.remove(df).collect())
+    assert got == brute(rows)
+
+
+def test_large_and_negative_ids(spark):
+    text = "the quick brown fox jumps over the lazy dog and then some more of it"
+    rows = [(2**62 + 1, text), (2**62, "x " + text), (-5, text[:50] + "!"), (None, text)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    kept = {r.doc_id: r.kept for r in R.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[None].decode() == text and kept[2**62 + 1] == b""
