@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 EPSILON = 1e-10
 #: Larger is better for these; smaller for the others.
 SIMILARITIES = {"cosine", "dot"}
+#: Queries of a pairwise table: so many vectors are known to be small enough to be sent to all tasks.
+MOST_QUERIES = 20_000
 METRICS = ("cosine", "dot", "euclidean", "l2", "manhattan")
 
 
@@ -98,8 +100,14 @@ def larger_is_better(metric: str) -> bool:
 
 
 def pairwise_distances(xs: DataFrame, ys: DataFrame, metric: str, x: str, y: str) -> DataFrame:
-    """Every row of ``xs`` with every row of ``ys`` and their distance; for small, stated sets."""
-    return xs.crossJoin(ys).withColumn("distance", compute_distance(F.col(x), F.col(y), metric))
+    """Every row of ``xs``, a stated query set, with every row of ``ys`` and their distance.
+
+    ``ys`` may be a whole table: it is read where it lies, and the queries, ``MOST_QUERIES`` at most,
+    come to it as blocks."""
+    asked = xs.limit(MOST_QUERIES + 1).count()
+    if asked > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries; split them")
+    return ys.crossJoin(F.broadcast(xs)).withColumn("distance", compute_distance(F.col(x), F.col(y), metric))
 
 
 def register(spark: SparkSession) -> None:
