@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mmr_order(query: np.ndarray, vectors: np.ndarray, relevance: np.ndarray, top_k: int, lambda_: float) -> list[int]:
+def mmr_order(vectors: np.ndarray, relevance: np.ndarray, top_k: int, lambda_: float) -> list[int]:
     """Positions chosen one by one: lambda * relevance - (1 - lambda) * largest similarity to those chosen."""
     n = len(vectors)
     lengths = np.linalg.norm(vectors, axis=1)
@@ -25,12 +25,13 @@ def mmr_order(query: np.ndarray, vectors: np.ndarray, relevance: np.ndarray, top
     return chosen
 
 
-def mmr(candidates: DataFrame, top_k: int, lambda_: float = 0.5, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding", score: str = "score") -> DataFrame:
+def mmr(candidates: DataFrame, top_k: int, lambda_: float = 0.5, query_id: str = "query_id", vec_id: str = "vec_id", vector: str = "embedding", score: str = "score", larger_is_better: bool = True) -> DataFrame:
     """Per query, the candidates' order by MMR; scores stay as they were. Candidates are a top-k list."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["s", "i"], ascending=[False, True], ignore_index=True)
-        order = mmr_order(None, np.array(group["v"].tolist(), dtype="f8"), group["s"].to_numpy(), top_k, lambda_)
+        group = group.sort_values(["s", "i"], ascending=[not larger_is_better, True], ignore_index=True)
+        relevance = group["s"].to_numpy() if larger_is_better else -group["s"].to_numpy()
+        order = mmr_order(np.array(group["v"].tolist(), dtype="f8"), relevance, top_k, lambda_)
         out = group.loc[order, ["q", "i", "s"]]
         return out.assign(rank=range(1, len(out) + 1))
 

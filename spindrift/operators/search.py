@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,35 +60,61 @@ def knn_batch(queries: DataFrame, vectors: DataFrame, top_k: int = 10, metric: s
     groups = {n: ([r[0] for r in rows], np.array([r[1] for r in rows], dtype="f8")) for n, rows in by_size.items()}
     better = D.larger_is_better(name)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if name == "manhattan":
+            return np.stack([np.abs(x - v).sum(1) for v in q])
+        if name in ("euclidean", "l2"):
+            return np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
+        s = q @ x.T
+        if name == "cosine":
+            a, b = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(x, axis=1)[None, :]
+            zero = (a < D.EPSILON) | (b < D.EPSILON)
+            s = np.where(zero, 0.0, np.clip(s / np.where(zero, 1.0, a * b), -1, 1))
+        return s
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch["v"].map(lambda v: -1 if v is None else len(v))
+            sizes = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
             for n, (ids, q) in groups.items():
-                own = batch[sizes == n]
-                if not len(own):
+                own = np.flatnonzero(sizes == n)
+                if not len(own) or not n:
                     continue
-                x = np.array(own["v"].tolist(), dtype="f8")
-                if name == "manhattan":
-                    s = np.stack([np.abs(x - v).sum(1) for v in q])
-                elif name in ("euclidean", "l2"):
-                    s = np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
-                else:
-                    s = q @ x.T
-                    if name == "cosine":
-                        a, b = np.linalg.norm(q, axis=1)[:, None], np.linalg.norm(x, axis=1)[None, :]
-                        zero = (a < D.EPSILON) | (b < D.EPSILON)
-                        s = np.where(zero, 0.0, np.clip(s / np.where(zero, 1.0, a * b), -1, 1))
-                s = np.round(s, DIGITS) + 0.0
-                key = own["i"].to_numpy()
-                for k, qid in enumerate(ids):
-                    order = np.lexsort((key, -s[k] if better else s[k]))[:top_k]
-                    yield pd.DataFrame({"query_id": qid, "vec_id": key[order], "score": s[k][order]})
-
-    partial = vectors.select(F.col(vec_id).alias("i"), F.col(vector).alias("v")).mapInPandas(run, f"query_id {qkind}, vec_id {vkind}, score double")
+                part = batch.take(pa.array(own)) if len(own) < batch.num_rows else batch
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(own), n)
+                key, k = part.column(0).to_numpy(zero_copy_only=False), min(top_k, len(own))
+                columns = [[], [], []]
+                for at in range(0, len(q), 256):
+                    s = np.round(scores(q[at : at + 256], x), DIGITS) + 0.0
+                    order = np.stack([np.lexsort((key, -row if better else row))[:k] for row in s])
+                    columns[0] += [i for i in ids[at : at + 256] for _ in range(k)]
+                    columns[1].append(key[order].reshape(-1))
+                    columns[2].append(np.take_along_axis(s, order, 1).reshape(-1))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.concatenate(columns[1])), pa.array(np.concatenate(columns[2]))], ["query_id", "vec_id", "score"])
+
+    partial = vectors.select(F.col(vec_id).alias("i"), F.col(vector).alias("v")).mapInArrow(run, f"query_id {qkind}, vec_id {vkind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score") if better else F.asc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
 
 
+def search(vectors: DataFrame, query, top_k: int = 10, metric: str = "cosine", filter_: Mapping | None = None, threshold: float | None = None, include_vector: bool = False, ef: int | None = None, use_mmr: bool = False, mmr_lambda: float = 0.5, fetch: int | None = None, vec_id: str = "vec_id", vector: str = "embedding", metadata: str | None = None) -> DataFrame:
+    """A collection's search as one call: filter, score, threshold, top k, and if asked for, the order
+    by maximal marginal relevance of the ``fetch`` best (top_k, if not given).
+
+    ``ef`` is the effort that graph indexes take; exact search finds all it could find at any effort.
+    A query of another dimension than the collection's finds nothing.
+    """
+    if ef is not None and ef < 1:
+        raise ValueError("ef must be positive")
+    found = knn(vectors, query, max(top_k, fetch or 0) if use_mmr else top_k, metric, filter_, threshold, include_vector or use_mmr, vec_id, vector, metadata)
+    if not use_mmr:
+        return found
+    from .rerank import mmr
+
+    order = mmr(found.withColumn("_query", F.lit(0)), top_k, mmr_lambda, "_query", vec_id, vector, larger_is_better=D.larger_is_better(metric))
+    keep = [c for c in found.columns if c != vector or include_vector]
+    return found.select(*keep).join(F.broadcast(order.select(vec_id, "rank")), vec_id).orderBy("rank")
+
+
 def rescore(candidates: DataFrame, vectors: DataFrame, query, top_k: int, metric: str = "dot", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Candidates by their exact score."""
     rows = vectors.join(candidates.select(vec_id), vec_id, "left_semi")
@@ -106,7 +132,7 @@ def cells(rows: int) -> int:
 
 def search_by_text(vectors: DataFrame, text: str, embed, top_k: int = 10, **options) -> DataFrame:
     """``embed`` is any function from a text to a vector."""
-    return knn(vectors, embed(text), top_k, **options)
+    return search(vectors, embed(text), top_k, **options)
 
 
 def hashed_embedding(text: str, size: int = 64) -> list[float]:
