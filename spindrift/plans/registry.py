@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import distances as D
+from ..functions import keys
 from ..functions import text as T
 from ..functions.filters import apply_filter
 from ..operators import fusion, partitioned, quantize, rerank, search
+from ..session import scratch_dir
 from ..sources import collection as C
 from ..streaming import ingest
 
@@ -84,30 +88,34 @@ def _(spark, sf):
 _BATCH_SQL = """
 SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, e.vec_id)::INT AS rank
-FROM embeddings q, embeddings e WHERE q.vec_id < 100 QUALIFY rank <= 10"""
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10"""
 
 
 @query("knn_batch", _BATCH_SQL)
 def _(spark, sf):
     vectors = _table(spark, sf, "embeddings")
-    queries = vectors.filter("vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.knn_batch(queries, vectors, 10)
 
 
-@query("pairwise_matrix", f"SELECT x.vec_id AS x_id, y.vec_id AS y_id, round({_MANHATTAN.format(a='x.embedding::DOUBLE[]', b='y.embedding::DOUBLE[]')}, 6) AS distance FROM embeddings x, embeddings y WHERE x.vec_id < 20 AND y.vec_id < 20")
-def _(spark, sf):
-    small = _table(spark, sf, "embeddings").filter("vec_id < 20")
-    xs, ys = small.select(F.col("vec_id").alias("x_id"), F.col("embedding").alias("x")), small.select(F.col("vec_id").alias("y_id"), F.col("embedding").alias("y"))
-    return D.pairwise_distances(xs, ys, "manhattan", "x", "y").select("x_id", "y_id", F.round("distance", 6).alias("distance"))
+def _pairwise(name: str, sql: str):
+    """Every 50th row against all rows."""
+
+    def run(spark, sf):
+        vectors = _table(spark, sf, "embeddings")
+        xs = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("x_id"), F.col("embedding").alias("x"))
+        ys = vectors.select(F.col("vec_id").alias("y_id"), F.col("embedding").alias("y"))
+        return D.pairwise_distances(xs, ys, name, "x", "y").select("x_id", "y_id", F.round("distance", 6).alias("distance"))
 
+    suffix = "matrix" if name == "manhattan" else name
+    query(f"pairwise_{suffix}", f"SELECT x.vec_id AS x_id, y.vec_id AS y_id, round({sql}, 6) AS distance FROM embeddings x, embeddings y WHERE x.vec_id % 50 = 0")(run)
 
-@query("pairwise_queries")
-def _(spark, sf):
-    """The query set of pairwise_matrix against every row."""
-    vectors = _table(spark, sf, "embeddings")
-    xs = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("x_id"), F.col("embedding").alias("x"))
-    ys = vectors.select(F.col("vec_id").alias("y_id"), F.col("embedding").alias("y"))
-    return D.pairwise_distances(ys, F.broadcast(xs), "manhattan", "x", "y").select("x_id", "y_id", F.round("distance", 6).alias("distance"))
+
+_XY = {"a": "x.embedding::DOUBLE[]", "b": "y.embedding::DOUBLE[]"}
+_pairwise("manhattan", _MANHATTAN.format(**_XY))
+_pairwise("cosine", "1 - list_cosine_similarity({a}, {b})".format(**_XY))
+_pairwise("euclidean", "list_distance({a}, {b})".format(**_XY))
+_pairwise("dot", "-list_inner_product({a}, {b})".format(**_XY))
 
 
 @query("sql_functions", f"SELECT vec_id, round(list_cosine_similarity({_V}, {_Q}), 6) AS cosine, round(list_distance({_V}, {_Q}), 6) AS l2, round({_MANHATTAN.format(a=_V, b=_Q)}, 6) AS l1 FROM embeddings")
@@ -126,18 +134,21 @@ def _(spark, sf):
     return doubled.select("vec_id", F.round(D.norm(F.col("v")), 6).alias("before"), F.round(D.norm(D.normalize(F.col("v"))), 6).alias("after"))
 
 
-@query("rescore", f"SELECT vec_id, round({_SQL_SCORE['dot']}, 6) AS score FROM embeddings WHERE vec_id % 3 = 0 ORDER BY score DESC, vec_id LIMIT 10")
-def _(spark, sf):
-    vectors = _table(spark, sf, "embeddings")
-    return search.rescore(vectors.filter("vec_id % 3 = 0").select("vec_id"), vectors, _stored(spark, sf), 10)
+_RESCORE = f"""
+WITH dims AS (SELECT vec_id, u.i - 1 AS pos, embedding[u.i]::DOUBLE AS x FROM embeddings, unnest(range(1, 65)) u(i)),
+m AS (SELECT pos, greatest(max(abs(x)), 1e-8) / 127 AS scale FROM dims GROUP BY pos),
+q AS (SELECT pos, x FROM dims WHERE vec_id = 0),
+s AS (SELECT vec_id, sum(greatest(-128, least(127, round_even(dims.x / scale, 0))) * scale * q.x) AS rough FROM dims JOIN m USING (pos) JOIN q USING (pos) GROUP BY vec_id),
+c AS (SELECT vec_id FROM s ORDER BY round(rough, 9) DESC, vec_id LIMIT 100)
+SELECT vec_id, round({_SQL_SCORE['dot']}, 6) AS score FROM embeddings WHERE vec_id IN (SELECT vec_id FROM c) ORDER BY score DESC, vec_id LIMIT 10"""
 
 
-@query("rescore_quantized")
+@query("rescore", _RESCORE)
 def _(spark, sf):
     """Candidates from the int8 codes of all rows, the best of them by their exact score."""
     vectors, asked = _table(spark, sf, "embeddings"), _stored(spark, sf)
     scored = quantize.quantized_dot(quantize.encode_scalar(vectors, quantize.fit_scalar(vectors)), asked)
-    candidates = scored.orderBy(F.desc("score"), "vec_id").limit(100).select("vec_id")
+    candidates = scored.orderBy(F.desc(F.round("score", 9)), "vec_id").limit(100).select("vec_id")
     return search.rescore(F.broadcast(candidates), vectors, asked, 10)
 
 
@@ -193,6 +204,32 @@ def _(spark, sf):
     return C.scroll(_table(spark, sf, "events").select("event_id", "ts"), 50, 100, "ts", "event_id")
 
 
+@query("scroll_filtered", "SELECT event_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 10")
+def _(spark, sf):
+    return C.scroll(_table(spark, sf, "events").select("event_id", "ts", "event_type"), 50, 10, "ts", "event_id", {"event_type": "click"}).select("event_id", "ts")
+
+
+@query("scroll_total", "SELECT count(*) AS total FROM events WHERE event_type = 'click'")
+def _(spark, sf):
+    return C.scroll_total(_table(spark, sf, "events"), {"event_type": "click"})
+
+
+@query("key_fetch", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT o_custkey FROM orders)")
+def _(spark, sf):
+    """A table of keys of any length."""
+    return C.fetch(_table(spark, sf, "embeddings").select("vec_id", "label"), _table(spark, sf, "orders").select(F.col("o_custkey").alias("vec_id")), "vec_id")
+
+
+@query("masked_names", "SELECT c_custkey, left(c_name, 8) || '…' AS masked FROM customer")
+def _(spark, sf):
+    return _table(spark, sf, "customer").select("c_custkey", keys.masked(F.col("c_name")).alias("masked"))
+
+
+@query("vector_keys")
+def _(spark, sf):
+    return _table(spark, sf, "embeddings").select("vec_id", keys.vector_key(F.col("embedding")).alias("key"))
+
+
 @query("point_lookup", "SELECT vec_id, label FROM embeddings WHERE vec_id = 5")
 def _(spark, sf):
     return C.fetch(_table(spark, sf, "embeddings"), [5], "vec_id").select("vec_id", "label")
@@ -205,7 +242,12 @@ def _(spark, sf):
 
 # ---- text --------------------------------------------------------------------------------------
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+#: The SQL's own list of words without meaning for ranking.
+_STOP = (
+    "'the', 'a', 'an', 'in', 'on', 'at', 'is', 'it', 'its', 'of', 'for', 'to', 'and', 'or', 'but', 'not', 'with', 'as', 'by', 'from', "
+    "'that', 'this', 'was', 'are', 'be', 'been', 'have', 'has', 'had', 'do', 'did', 'will', 'would', 'shall', 'should', 'may', 'might', "
+    "'can', 'could', 'there', 'their', 'they', 'them', 'which', 'who', 'whom', 'whose', 'where', 'when'"
+)
 _TOKENS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))"
 _QUERY = "ering tion able heit"
 _BM25 = f"""
@@ -233,6 +275,11 @@ def _(spark, sf):
     return T.keyword_search(_table(spark, sf, "documents"), "the ering")
 
 
+@query("keyword_search_all_terms", _BM25.replace(_QUERY, "ering tion") + f" SELECT doc_id, score FROM s JOIN tok USING (doc_id) WHERE list_contains(w, 'ering') AND list_contains(w, 'tion') ORDER BY score DESC, doc_id LIMIT 500")
+def _(spark, sf):
+    return T.keyword_search(_table(spark, sf, "documents"), "ering tion")
+
+
 @query(
     "bm25_weights",
     f"""WITH tok AS (SELECT doc_id, {_TOKENS} AS w FROM documents), l AS (SELECT avg(len(w)) AS average FROM tok),
@@ -252,8 +299,50 @@ def _(spark, sf):
     FROM v LEFT JOIN q USING (term) GROUP BY doc_id HAVING sum(weight * asked) IS NOT NULL ORDER BY score DESC, doc_id LIMIT 20""",
 )
 def _(spark, sf):
-    vectors = T.term_counts(_table(spark, sf, "documents")).select("doc_id", "term", F.col("tf").cast("double").alias("weight"))
-    return T.sparse_search(vectors, {"ering": 2.0, "tion": 1.0}, 20)
+    return T.search_sparse_rows(T.sparse_rows(_table(spark, sf, "documents")), {"ering": 2.0, "tion": 1.0}, 20)
+
+
+@query(
+    "sparse_collection_search",
+    f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents WHERE lang = 'en'), v AS (SELECT doc_id, term, count(*)::DOUBLE AS weight FROM t GROUP BY ALL),
+    q AS (SELECT * FROM (VALUES ('ering', 2.0), ('tion', 1.0)) q(term, asked))
+    SELECT doc_id, round(sum(weight * asked) / (sqrt(5.0) * sqrt(sum(weight * weight)) + 1e-9), 6) AS score
+    FROM v LEFT JOIN q USING (term) GROUP BY doc_id HAVING sum(weight * asked) IS NOT NULL ORDER BY score DESC, doc_id LIMIT 20""",
+)
+def _(spark, sf):
+    """Stored sparse vectors beside metadata, under a filter."""
+    return T.search_sparse_rows(T.sparse_rows(_table(spark, sf, "documents")), {"ering": 2.0, "tion": 1.0}, 20, {"lang": "en"})
+
+
+@query("sparse_postings", f"SELECT doc_id, len(list_distinct(w)) AS terms, len(w) AS length FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)")
+def _(spark, sf):
+    rows = T.sparse_rows(_table(spark, sf, "documents"))
+    return rows.select("doc_id", F.size("terms").cast("long").alias("terms"), F.aggregate("weights", F.lit(0.0), lambda a, w: a + w).cast("long").alias("length"))
+
+
+_TEXT_COSINE = f"""
+WITH tok AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+l AS (SELECT count(*) FILTER (len(w) > 0) AS n, avg(len(w)) FILTER (len(w) > 0) AS average FROM tok),
+t AS (SELECT doc_id, len(w) AS doc_len, unnest(w) AS term FROM tok),
+v AS (SELECT doc_id, term, any_value(doc_len) AS doc_len, count(*) AS tf FROM t GROUP BY doc_id, term),
+x AS (SELECT doc_id, term, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / greatest(average, 1))) AS weight FROM v, l),
+a AS (SELECT term, count(*) AS tf FROM (SELECT unnest(['ering', 'tion', 'ering', 'zzqx']) AS term) GROUP BY term),
+q AS (SELECT a.term, greatest(0, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) * a.tf * 2.5 / (a.tf + 1.5 * (0.25 + 0.75 * 4 / greatest(average, 1))) AS asked
+      FROM a LEFT JOIN (SELECT term, count(*) AS df FROM v GROUP BY term) d ON d.term = a.term, l),
+z AS (SELECT sqrt(sum(asked * asked)) AS size FROM q)
+SELECT doc_id, round(sum(weight * asked) / (any_value(size) * sqrt(sum(weight * weight)) + 1e-9), 6) AS score
+FROM x LEFT JOIN q USING (term), z GROUP BY doc_id HAVING sum(weight * asked) > 0 ORDER BY score DESC, doc_id LIMIT 20"""
+
+
+@query("text_search", _TEXT_COSINE)
+def _(spark, sf):
+    return T.text_search(_table(spark, sf, "documents"), "ering the tion ering zzqx", 20)
+
+
+@query("earlier_average", f"SELECT doc_id, round(coalesce(avg(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n), 6) AS average FROM (SELECT doc_id, len({_TOKENS}) AS n FROM documents)")
+def _(spark, sf):
+    lengths = _table(spark, sf, "documents").select("doc_id", F.size(T.tokenize(F.col("text"))).alias("doc_len"))
+    return T.earlier_average(lengths, "doc_id").select("doc_id", F.round("average", 6).alias("average"))
 
 
 # ---- fusion ------------------------------------------------------------------------------------
@@ -295,6 +384,17 @@ def _(spark, sf):
     return fusion.linear_fuse(*_lists(spark, sf), 0.5, 20)
 
 
+@query(
+    "hybrid_filtered",
+    f"""WITH docs AS (SELECT * FROM documents WHERE lang = 'en'), {_BM25.strip()[5:].replace('FROM documents', 'FROM docs')},
+    dense AS (SELECT vec_id AS id, round({_SQL_SCORE['cosine']}, 6) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM docs) ORDER BY score DESC, id LIMIT 200),
+    words AS (SELECT doc_id AS id, score FROM s JOIN tok USING (doc_id) WHERE list_contains(w, 'ering') AND list_contains(w, 'tion') AND list_contains(w, 'able') AND list_contains(w, 'heit') ORDER BY score DESC, id LIMIT 500)"""
+    + _RRF.format(a="0.7::DOUBLE", b="(1 - 0.7::DOUBLE)"),
+)
+def _(spark, sf):
+    return fusion.hybrid_search(_table(spark, sf, "embeddings"), _table(spark, sf, "documents"), _stored(spark, sf), _QUERY, 20, filter_={"lang": "en"})
+
+
 @query("hybrid_linear", _LISTS + ", places AS (SELECT id, 1.0::DOUBLE / row_number() OVER (ORDER BY score DESC, id) AS score FROM words)" + _LINEAR.format(dense="dense", words="places", w=0.7))
 def _(spark, sf):
     return fusion.hybrid(*_lists(spark, sf), 20, fusion="linear")
@@ -394,18 +494,38 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = _table(spark, sf, "embeddings")
     book = quantize.codebook_from_rows(vectors, 8, 16)
-    return quantize.adc_search(quantize.encode_product(vectors, book, 8), book, _stored(spark, sf), 8, 20)
+    return quantize.adc_search(quantize.encode_arrays(vectors, book), book, _stored(spark, sf), 20)
 
 
 @query("pq_decode", _PQ + " SELECT c.vec_id, round(avg(list_sum(list_transform(list_zip(q.part, b.centroid), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS error FROM codes c JOIN book b ON b.sub = c.sub AND b.code = c.code JOIN part q ON q.sub = c.sub AND q.vec_id = c.vec_id GROUP BY c.vec_id")
 def _(spark, sf):
     vectors = _table(spark, sf, "embeddings")
     book = quantize.codebook_from_rows(vectors, 8, 16)
-    decoded = quantize.decode_product(quantize.encode_product(vectors, book, 8), book)
+    decoded = quantize.decode_arrays(quantize.encode_arrays(vectors, book), book)
     gap = D.euclidean_distance(F.col("embedding"), F.col("decoded"))
     return vectors.join(decoded, "vec_id").select("vec_id", F.round(gap * gap / 8, 6).alias("error"))
 
 
+@query(
+    "pq_error",
+    _PQ
+    + """, d AS (SELECT q.vec_id, q.part, b.centroid FROM codes c JOIN book b ON b.sub = c.sub AND b.code = c.code JOIN part q ON q.sub = c.sub AND q.vec_id = c.vec_id),
+    x AS (SELECT vec_id, p[1] AS x, p[2] AS y FROM (SELECT vec_id, unnest(list_zip(part, centroid)) AS p FROM d)),
+    r AS (SELECT vec_id, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS c FROM x GROUP BY vec_id)
+    SELECT round(avg((x - y) * (x - y)), 7) AS mse, round(max(abs(x - y)), 7) AS max_error, (SELECT round(avg(c), 7) FROM r) AS mean_cosine FROM x""",
+)
+def _(spark, sf):
+    vectors = _table(spark, sf, "embeddings")
+    e = quantize.product_error(vectors, quantize.codebook_from_rows(vectors, 8, 16))
+    return e.select(*(F.round(c, 7).alias(c) for c in e.columns))
+
+
+@query("binary_decode", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END))::DOUBLE AS total, CASE WHEN embedding[1] > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS first, CASE WHEN embedding[64] > 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS last FROM embeddings")
+def _(spark, sf):
+    signs = _table(spark, sf, "embeddings").select("vec_id", quantize.decode_binary(quantize.binary_words(F.col("embedding"), 64), 64).alias("s"))
+    return signs.select("vec_id", F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("total"), F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(63)).alias("last"))
+
+
 # ---- partitioned search ------------------------------------------------------------------------
 
 _IVF = "WITH c AS (SELECT vec_id::INT AS list_id, embedding::DOUBLE[] AS centroid FROM embeddings WHERE vec_id < 16), a AS (SELECT vec_id, any_value(embedding) AS embedding, arg_min(list_id, (round(list_sum(list_transform(list_zip(embedding::DOUBLE[], centroid), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9), list_id)) AS list_id FROM embeddings, c GROUP BY vec_id)"
@@ -424,6 +544,59 @@ def _(spark, sf):
     return partitioned.search_cells(partitioned.assign(vectors, cells), cells, _stored(spark, sf), 10, 4).select("vec_id", "list_id", "score")
 
 
+def _index(spark, sf, kind: str) -> str:
+    """A trained index of the whole table, written once for the query that searches it."""
+    vectors, path = _table(spark, sf, "embeddings"), scratch_dir(spark)
+    partitioned.rebuild(vectors, path, vectors.count(), kind, seed=1)
+    return path
+
+
+_EXACT = f"SELECT vec_id, label, round({_SQL_SCORE['cosine']}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10"
+
+
+@query("ivf_layout_search")
+def _(spark, sf):
+    """The ten nearest in the ten nearest cells of a trained, written index."""
+    rows, cells = partitioned.read_layout(spark, _index(spark, sf, "ivf"))
+    return partitioned.search_cells(rows, cells, _stored(spark, sf), 10, 10).select("vec_id", "label", "score")
+
+
+@query("ivf_layout_all_cells", _EXACT)
+def _(spark, sf):
+    rows, cells = partitioned.read_layout(spark, _index(spark, sf, "ivf"))
+    return partitioned.search_cells(rows, cells, _stored(spark, sf), 10, partitioned.MOST_CELLS).select("vec_id", "label", "score")
+
+
+@query("ivfpq_search")
+def _(spark, sf):
+    """By product codes in the ten nearest cells, the best 200 scored exactly."""
+    path = _index(spark, sf, "ivfpq")
+    rows, cells = partitioned.read_layout(spark, path)
+    return partitioned.search_pq(rows, cells, spark.read.parquet(f"{path}/codebook"), _stored(spark, sf), 10, 10, refine=20).select("vec_id", "label", "score")
+
+
+@query("collection_search", f"SELECT vec_id, round({_SQL_SCORE['cosine']}, 6) AS score FROM embeddings WHERE label IN (1, 3, 5) AND round({_SQL_SCORE['cosine']}, 6) >= 0.05 ORDER BY score DESC, vec_id LIMIT 10")
+def _(spark, sf):
+    return search.search(_table(spark, sf, "embeddings"), _stored(spark, sf), 10, filter_={"label": {"$in": [1, 3, 5]}}, threshold=0.05, ef=64).select("vec_id", "score")
+
+
+@query("collection_search_mmr")
+def _(spark, sf):
+    return search.search(_table(spark, sf, "embeddings"), _stored(spark, sf), 10, use_mmr=True, fetch=50).select("vec_id", "score", "rank")
+
+
+@query("search_by_text")
+def _(spark, sf):
+    """Texts as hashed token vectors, the nearest to a text."""
+    texts = _table(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"), _hashed(F.col("text")).alias("embedding"))
+    return search.search_by_text(texts, "ering tion able heit", search.hashed_embedding, 10).select("vec_id", "score")
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _hashed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: search.hashed_embedding(t or ""))
+
+
 # ---- writes ------------------------------------------------------------------------------------
 
 
@@ -447,6 +620,26 @@ def _(spark, sf):
     return C.last_wins(rows, "user_id", "at").select("user_id", "event_type")
 
 
+_LATE = """
+WITH old AS (SELECT o_orderkey, o_orderstatus, o_orderdate AS moment FROM orders),
+new AS (SELECT o_orderkey, 'late' AS o_orderstatus, o_orderdate - INTERVAL 1 DAY AS moment FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_orderkey, 'next', o_orderdate + INTERVAL 1 DAY FROM orders WHERE o_orderkey % 3 = 1 OR o_orderkey % 6 = 0)
+SELECT o_orderkey, arg_max(o_orderstatus, moment) AS o_orderstatus FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY o_orderkey"""
+
+
+@query("last_write_wins_late", _LATE)
+def _(spark, sf):
+    """Two batches into a stored collection; records older than the stored ones change nothing."""
+    old = _table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").alias("at"))
+    late = old.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("late").alias("o_orderstatus"), F.expr("at - INTERVAL 1 DAY").alias("at"))
+    later = old.filter("o_orderkey % 3 = 1 or o_orderkey % 6 = 0").select("o_orderkey", F.lit("next").alias("o_orderstatus"), F.expr("at + INTERVAL 1 DAY").alias("at"))
+    store = C.Store(spark, scratch_dir(spark))
+    store.create("orders", old, 0, key="o_orderkey", buckets=8)
+    for k, batch in enumerate((later, late)):
+        store.merge("orders", batch, "at", batch=k)
+    return store.read("orders").select("o_orderkey", "o_orderstatus")
+
+
 @query("patch_metadata", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"k\": -1}' ELSE props END AS props FROM events")
 def _(spark, sf):
     old = _table(spark, sf, "events").select("event_id", "props")

@@ -42,76 +42,148 @@ def test_normalize_keeps_zeros(spark):
     assert value(spark, D.normalize(D.literal([3, 4, 0]))) == pytest.approx([0.6, 0.8, 0])
 
 
-ITEMS = [
-    ("item1", '{"category": "electronics", "price": 99.5, "brand": "Sony", "user": {"tier": 2}, "none": null}'),
-    ("item2", '{"category": "electronics", "price": 999.0, "brand": "Apple"}'),
-    ("item3", '{"category": "books", "price": 15.0, "brand": "Penguin"}'),
-    ("item4", '{"category": "home", "price": 150.0, "brand": "Ikea"}'),
+BOATS = [
+    ("a", '{"hull": "steel", "length": 31.5, "port": "Kiel", "crew": {"cooks": 2}, "log": null}'),
+    ("b", '{"hull": "steel", "length": 112.0, "port": "Oban"}'),
+    ("c", '{"hull": "wood", "length": 8.25, "port": "Kristiansund"}'),
+    ("d", '{"hull": "glass", "length": 44.0, "port": "Vigo"}'),
+    ("e", '{"hull": "wood", "length": 12.0}'),
 ]
 
 
 @pytest.mark.parametrize(
     "filter_,want",
     [
-        ({"category": "electronics"}, "12"),
-        ({"price": {"$gte": 50, "$lte": 200}}, "14"),
-        ({"brand": {"$in": ["Sony", "Penguin"]}}, "13"),
-        ({"category": {"$nin": ["electronics"]}}, "34"),
-        ({"brand": {"$regex": "^[SP].*"}}, "13"),
-        ({"$or": [{"category": "books"}, {"brand": "Ikea"}]}, "34"),
-        ({"category": "electronics", "$or": [{"brand": "Ikea"}, {"price": {"$gt": 500}}]}, "2"),
-        ({"$not": {"missing": 1}}, "1234"),
-        ({"missing": None}, "1234"),
-        ({"missing": {"$ne": 5}}, "1234"),
-        ({"user.tier": 2}, "1"),
-        ({"none": {"$exists": True}}, "1"),
-        ({"brand": {"$in": []}}, ""),
-        ({"brand": {"$nin": []}}, "1234"),
-        ({"brand": {"$in": [None, "Sony"]}}, "1"),
-        ({"missing": {"$in": [None]}}, "1234"),
-        ({"$and": []}, "1234"),
+        ({"hull": "steel"}, "ab"),
+        ({"hull": {"$eq": "steel"}}, "ab"),
+        ({"length": {"$gte": 12, "$lt": 44}}, "ae"),
+        ({"length": {"$gt": 12, "$lte": 44}}, "ad"),
+        ({"port": {"$in": ["Kiel", "Vigo"]}}, "ad"),
+        ({"hull": {"$nin": ["wood", "glass"]}}, "ab"),
+        ({"port": {"$nin": ["Kiel"]}}, "bcde"),
+        ({"port": {"$regex": "^K.*l$"}}, "a"),
+        ({"port": {"$regex": "i"}}, "acd"),
+        ({"$or": [{"hull": "glass"}, {"port": "Oban"}]}, "bd"),
+        ({"hull": "wood", "$or": [{"port": "Vigo"}, {"length": {"$lt": 10}}]}, "c"),
+        ({"$and": [{"hull": "steel"}, {"length": {"$gt": 100}}]}, "b"),
+        ({"$not": {"port": "Kiel"}}, "bcde"),
+        ({"port": None}, "e"),
+        ({"port": {"$ne": "Oban"}}, "acde"),
+        ({"port": {"$ne": None}}, "abcd"),
+        ({"crew.cooks": 2}, "a"),
+        ({"log": {"$exists": True}}, "a"),
+        ({"port": {"$exists": False}}, "e"),
+        ({"port": {"$in": []}}, ""),
+        ({"port": {"$nin": []}}, "abcde"),
+        ({"port": {"$in": [None, "Kiel"]}}, "ae"),
+        ({"$and": []}, "abcde"),
         ({"$or": []}, ""),
-        ({}, "1234"),
-        (None, "1234"),
+        ({}, "abcde"),
+        (None, "abcde"),
     ],
 )
 def test_filters(spark, filter_, want):
-    df = spark.createDataFrame(ITEMS, "id string, metadata string")
-    assert sorted(r.id[-1] for r in apply_filter(df, filter_, "metadata").collect()) == list(want)
+    df = spark.createDataFrame(BOATS, "id string, metadata string")
+    assert sorted(r.id for r in apply_filter(df, filter_, "metadata").collect()) == list(want)
 
 
 @pytest.mark.parametrize("bad", [{"a'b": 1}, {"a": {"$near": 1}}, {"$nor": []}, {"a": {"$in": 3}}])
 def test_filter_errors(spark, bad):
     with pytest.raises(ValueError):
-        apply_filter(spark.createDataFrame(ITEMS, "id string, metadata string"), bad, "metadata")
+        apply_filter(spark.createDataFrame(BOATS, "id string, metadata string"), bad, "metadata")
 
 
 def test_facets_and_scroll(spark):
-    df = spark.createDataFrame(ITEMS, "id string, metadata string")
-    got = [tuple(r) for r in C.facets(df, F.try_variant_get(F.try_parse_json("metadata"), "$.category", "string")).collect()]
-    assert got == [("electronics", 2), ("books", 1), ("home", 1)]
-    assert [r.id for r in C.scroll(df.withColumn("created_at", F.lit(1)), 2, 1).collect()] == ["item2", "item3"]
+    df = spark.createDataFrame(BOATS, "id string, metadata string").withColumn("created_at", F.lit(1))
+    got = [tuple(r) for r in C.facets(df, F.try_variant_get(F.try_parse_json("metadata"), "$.hull", "string")).collect()]
+    assert got == [("steel", 2), ("wood", 2), ("glass", 1)]
+    assert [r.id for r in C.scroll(df, 2, 1).collect()] == ["b", "c"]
+    assert [r.id for r in C.scroll(df, 5, 1, filter_={"hull": "wood"}, metadata="metadata").collect()] == ["e"]
+    assert C.scroll_total(df, {"hull": "wood"}, "metadata").first()[0] == 2
+
+
+def test_fetch_any_number_of_keys(spark):
+    rows = spark.range(3000).withColumn("surrogate", F.col("id") + 7)
+    for ids in ([1, 5, 5000], list(range(0, 6000, 2)), spark.createDataFrame([(1,), (1,), (9,)], "id long")):
+        want = sorted(set(ids if isinstance(ids, list) else [1, 9]) & set(range(3000)))
+        assert sorted(r.id for r in C.fetch(rows, ids).collect()) == want
+        assert sorted(tuple(r) for r in C.surrogate_of(rows, ids).collect()) == [(i, i + 7) for i in want]
+
+
+def test_numbers_and_rolling_means(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), rng.randint(-50, 50)) for i in rng.sample(range(10**6), 3000)]
+    df = spark.createDataFrame(rows, "at long, part string, value long").repartition(5)
+    got = {r.at: r.surrogate for r in C.allocate(df.select("at"), 100, "at").collect()}
+    assert got == {a: 100 + k for k, a in enumerate(sorted(r[0] for r in rows))}
+    want, held = {}, {"a": [], "b": []}
+    for at, part, value_ in sorted(rows):
+        held[part].append(value_)
+        last = held[part][-40:]
+        want[at] = sum(last) / len(last)
+    for block in (40, 64, 10**6):
+        got = {r.at: r.rolling for r in ingest.rolling_mean(df, "value", "at", "part", 40, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert C.allocate(df.limit(0).select("at"), 0, "at").count() == 0
+
+
+def test_keys(spark):
+    import hashlib
+
+    import numpy as np
+
+    from spindrift.functions import keys
+
+    df = spark.createDataFrame([([1.5, -2.0], "abcdefghijk"), (None, "abc")], "v array<double>, k string")
+    got = [tuple(r) for r in df.select(keys.vector_key(F.col("v")), keys.masked(F.col("k"))).collect()]
+    assert got == [(hashlib.md5(np.array([1.5, -2.0], "<f4").tobytes()).hexdigest(), "abcdefgh…"), (None, "abc…")]
+    assert keys.filter_key({"a": 1, "b": 2}) == keys.filter_key({"b": 2, "a": 1}) != keys.filter_key({})
 
 
 def test_tokens(spark):
-    got = value(spark, T.tokenize(F.lit("Python 3.11 & FastAPI! #Vector_DB @2026-AI?")))
-    assert got == ["python", "11", "fastapi", "vector", "db", "2026", "ai"]
+    text = "Harbour-Master's 3 logs, 2nd ed. #Tide_Table: where the İce WOULD thaw; a b 42"
+    got = value(spark, T.tokenize(F.lit(text)))
+    assert got == ["harbour", "master", "logs", "2nd", "ed", "tide", "table", "ce", "thaw", "42"]
+    assert T.query_tokens(text) == got and len(T.STOP_WORDS) == 49
 
 
 def test_sparse_search(spark):
-    v = spark.createDataFrame([("doc1", 0, 1.0), ("doc1", 1, 2.0), ("doc2", 1, 1.0), ("doc2", 2, 3.0), ("doc3", 3, 5.0)], "doc_id string, term int, weight double")
-    assert [(r.doc_id, r.score) for r in T.sparse_search(v, {1: 1.0}, 5).collect()] == [("doc1", 0.894427), ("doc2", 0.316228)]
-    assert T.sparse_search(v, {1: 0.0}, 5).count() == 0
+    rows = [("p", 7, 3.0), ("p", 8, 4.0), ("q", 8, 1.0), ("q", 9, 1.0), ("r", 5, 2.0)]
+    v = spark.createDataFrame(rows, "doc_id string, term int, weight double")
+    want = [("p", 0.8), ("q", 0.707107)]
+    assert [(r.doc_id, r.score) for r in T.sparse_search(v, {8: 2.0}, 5).collect()] == want
+    norms = v.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    assert [(r.doc_id, r.score) for r in T.sparse_search(v.join(norms, "doc_id"), {8: 2.0}, 5).collect()] == want
+    assert T.sparse_search(v, {8: 0.0}, 5).count() == 0
+
+
+def test_stored_sparse_vectors(spark):
+    docs = spark.createDataFrame([(1, "tide tide wind", "en"), (2, "wind", "de"), (3, "of the", "en"), (4, None, "en")], "doc_id long, text string, lang string")
+    rows = T.sparse_rows(docs)
+    got = {r.doc_id: (r.terms, r.weights, round(r.norm, 6)) for r in rows.collect()}
+    assert got == {1: (["tide", "wind"], [2.0, 1.0], 2.236068), 2: (["wind"], [1.0], 1.0), 3: ([], [], 1.0), 4: ([], [], 1.0)}
+    found = lambda df, *a: [(r.doc_id, r.score) for r in T.search_sparse_rows(df, {"wind": 2.0}, 5, *a).collect()]
+    assert found(rows) == [(2, 1.0), (1, 0.447214)] and found(rows, {"lang": "en"}) == [(1, 0.447214)]
+    more = T.add_sparse(rows, T.sparse_rows(spark.createDataFrame([(2, "gale gale", "de"), (5, "wind", "fr"), (6, "", "fr")], docs.schema)))
+    assert found(more) == [(5, 1.0), (1, 0.447214)] and T.sparse_size(more).first()[0] == 3
+    assert found(T.remove_sparse(more, spark.createDataFrame([(5,)], "doc_id long"))) == [(1, 0.447214)]
+
+
+def test_searches_without_terms(spark):
+    docs = spark.createDataFrame([(1, "tide")], "doc_id long, text string")
+    for search_ in (T.bm25_search, T.keyword_search, T.text_search):
+        assert search_(docs, "the of a", 5).count() == 0 and search_(docs, "gale", 5).count() == 0
+        assert [r.doc_id for r in search_(docs, "tide", 5).collect()] == [1]
 
 
 def test_fusion(spark):
-    a = spark.createDataFrame([("A", 3.0), ("B", 2.0), ("C", 1.0)], "id string, score double")
-    b = spark.createDataFrame([("B", 3.0), ("A", 2.0), ("D", 1.0)], "id string, score double")
-    got = [tuple(r) for r in fusion.rrf_fuse([(fusion.ranked(a), 1), (fusion.ranked(b), 1)], 9).collect()]
-    assert got == [("A", 0.032522), ("B", 0.032522), ("C", 0.015873), ("D", 0.015873)]
-    dense = spark.createDataFrame([("doc1", 0.95), ("doc2", 0.60), ("doc3", 0.40)], "id string, score double")
-    sparse = spark.createDataFrame([("doc2", 15.0), ("doc3", 10.0), ("doc4", 5.0)], "id string, score double")
-    assert [tuple(r) for r in fusion.linear_fuse(dense, sparse, 0.5, 9).collect()] == [("doc2", 0.681818), ("doc1", 0.5), ("doc3", 0.25), ("doc4", 0.0)]
+    lists = [spark.createDataFrame(rows, "id string, score double") for rows in ([("k", 9.0), ("m", 8.0)], [("m", 0.4), ("n", 0.3), ("k", 0.1)])]
+    got = [tuple(r) for r in fusion.rrf_fuse([(fusion.ranked(df), w) for df, w in zip(lists, (1, 2), strict=True)], 9).collect()]
+    assert got == [("m", round(1 / 62 + 2 / 61, 6)), ("k", round(1 / 61 + 2 / 63, 6)), ("n", round(2 / 62, 6))]
+    got = [tuple(r) for r in fusion.linear_fuse(*lists, 0.25, 9).collect()]
+    assert got == [("m", 0.75), ("n", 0.5), ("k", 0.25)]
 
 
 def test_mmr_prefers_other_directions(spark):
@@ -137,27 +209,3 @@ def test_choices():
     assert [search.index_type(n) for n in (10, 10_000, 100_000)] == ["flat", "ivf", "hnsw"]
     assert search.cells(1) == 4 and search.cells(10_000) == 400 and search.cells(10**9) == 4096
     assert math.isclose(sum(x * x for x in search.hashed_embedding("a text of words")), 1.0)
-
-
-def test_store_and_stream(spark, tmp_path):
-    schema = "id long, vector array<double>, at long"
-    store = C.Store(spark, f"{tmp_path}/store")
-    store.create("c", spark.createDataFrame([(1, [1.0], 1), (2, [2.0], 1)], schema), 1)
-    with pytest.raises(ValueError):
-        store.create("c", store.read("c"), 1)
-    spark.createDataFrame([(2, [9.0], 3), (2, [8.0], 2), (3, [3.0], 1)], schema).write.parquet(f"{tmp_path}/in")
-    ingest.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, "c", "id", "at", f"{tmp_path}/check").awaitTermination()
-    assert sorted((r.id, r.vector[0]) for r in store.read("c").collect()) == [(1, 1.0), (2, 9.0), (3, 3.0)]
-    assert sorted(r.id for r in store.read("c", 1).collect()) == [1, 2]
-    store.snapshot("c", f"{tmp_path}/snap")
-    store.write("c", C.delete_by_filter(store.read("c"), {"id": {"$gt": 1}}))
-    assert store.read("c").count() == 1
-    assert store.verify(f"{tmp_path}/snap")
-    store.restore(f"{tmp_path}/snap", "c", 1)
-    assert store.read("c").count() == 3 and [tuple(r) for r in store.stats(["c"]).collect()] == [("c", 3)]
-    store.describe("c", "text")
-    assert store.settings("c")["description"] == "text"
-    store.drop("c")
-    assert not store.exists("c")
-    with pytest.raises(ValueError):
-        C.delete_by_filter(spark.createDataFrame(ITEMS, "id string, metadata string"), {})
