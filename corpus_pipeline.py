@@ -6,6 +6,15 @@ drop bad documents, line dedup drops later similar lines (and documents of which
 near-dedup keeps one document of each group of near copies, mixing draws whole documents so that
 sources have their target weights (a document may come up to three times, or not at all). The last
 returns the pieces of the packed sequences.
+
+Defined results
+    null or empty text      fails the quality rules, goes in the first stage
+    very long text          whole in every stage
+    null ids                no lines removed, no copies found, packed like others
+    null source             a source of its own, the last
+    repeated rows           equal ids don't remove each other's lines; each is drawn and packed on its own
+    empty table             an empty result
+    extra columns           kept up to packing
 """
 
 from __future__ import annotations
@@ -14,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from spindrift.llm.common import cut, table
+from spindrift.llm.common import cut, drop, kept_tables, release, table
 
 #: Words of a shingle in near-dedup.
 SHINGLE = 5
@@ -59,10 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written once and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage returns is written once and read by the next, and
+    then the tables that it was made from are deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
+        mark = kept_tables()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs)
+            release(spark, mark, but=docs)
+            drop(*before)
+            before = [docs]
     return docs
