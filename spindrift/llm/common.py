@@ -89,6 +89,3 @@ def _delete(spark: SparkSession, path: str) -> None:
         _kept.remove(path)
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
-
-
-cut_table = cut

@@ -4,19 +4,21 @@ A line is the set of its words. Of two lines whose sets have a Jaccard similarit
 the later one goes (by document id, then line number; judged on the input, so a line goes if any
 earlier line is that similar, whether that one stays or not). Lines without a word stay.
 
-1.  Rarity: every word of the corpus is counted in one of 2**16 hashed counters. A token is a
-    63-bit number, its counter's class (quarters of a power of two) above 55 bits of its hash: the
-    natural order of tokens is by rarity. The counters are the only thing that is broadcast, as a
-    constant of fixed size.
-2.  Equal sets: the earliest of each stays and stands for all.
-3.  Prefix filter: similar sets share a token among the first n - ceil(8n/9) + 1 of the smaller one
-    and the first n - ceil(4n/5) + 1 of the larger one. The length filter and the positional filter
-    (what is left behind the shared token must suffice) are in the join condition.
-4.  Families of similar lines don't meet pair by pair: each line is first held against the earliest
-    line that shares one of its three rarest tokens. Only lines that find no match there are the
-    later side in the join of step 3.
-5.  Candidates that differ in too many bits of a 64-bit parity of their tokens can't be similar;
-    the others are confirmed on their full token sets.
+1.  Rarity: every word of the corpus is counted in one of 2**18 hashed counters. A token is a
+    62-bit number, its counter's class (quarters of a power of two) above 55 bits of its hash: the
+    natural order of tokens is by rarity. The counters' classes, a byte each, are the only thing
+    that tasks get whole, as a constant of fixed size.
+2.  Equal sets: the earliest of each stays and stands for all. Copies meet pre-aggregated.
+3.  Prefix filter: of n tokens, the n - ceil(4n/5) + 1 rarest. Two similar sets share one of them,
+    and mostly more: all but ceil(4n/5) - 1 of their common tokens are among them, n being the
+    larger size. So lines meet by token, under the length filter and the positional filter (common
+    tokens before this one, this one, and what is left behind it must suffice), and pairs need as
+    many common prefix tokens as follows from their sizes. Sets that differ in d tokens differ in d
+    bits at most of a 64-bit parity of their tokens, so most unlike lines part right where they meet.
+4.  Tokens in the prefixes of very many lines: such families of similar lines don't meet pair by
+    pair. Each of their lines is first held against the earliest line with that token; only lines
+    that find no match there are the later side in step 3.
+5.  The pairs that are left are confirmed on their words. The lines are exchanged once for it.
 
 Defined results
     null or empty text      no lines with a word, nothing removed
@@ -29,29 +31,26 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, cut_table, fresh, table, text_or_empty
+from .common import WORD, cut, drop, fresh, table, text_or_empty
 
-COUNTERS = 1 << 16
-HASH_BITS = 55
+COUNTERS = 1 << 18
+HASH_BITS, KEY_BITS = 55, 40
+#: Lines with one prefix token from which they are a family (step 4).
+FAMILY = 256
+#: Slots of the constant that tells which documents have lines to be confirmed: seven to a byte, 128 KB.
+SLOTS = 7 << 17
 SPACE = r"[\x20\x09-\x0D]+"
-TRIM = " \t\n\x0b\f\r"
-
-
-def _hashes(line: Column) -> Column:
-    return F.transform(F.split(F.btrim(line, F.lit(TRIM)), SPACE), lambda w: F.xxhash64(w))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """The classes of all counters, a byte each, as a constant."""
-    words = docs.select(F.explode(_hashes(text_or_empty())).alias("h"))
-    counts = words.groupBy(F.pmod("h", F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("n"))
-    classes = [0] * COUNTERS  # at most so many rows come back
-    for k, c in counts.select("k", F.floor(4 * F.log2("n")).cast("int").alias("c")).toLocalIterator():
-        classes[k] = min(c, 127)
-    return F.lit(bytes(classes))
+def _words(line: Column) -> Column:
+    """The words of a line that has some. Splitting at single spaces is fast; other lines are cleaned first."""
+    odd = line.rlike("[\\t\\x0B-\\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.split(F.when(odd, F.btrim(F.regexp_replace(line, SPACE, " "), F.lit(" "))).otherwise(line), " ")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -59,10 +58,36 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.filter(F.col("line").rlike(WORD))
 
 
+def _by_counter(hashes: DataFrame) -> list[int]:
+    """How many of a column h fall on each counter, as one row of bounded size."""
+    counts = hashes.groupBy(F.pmod("h", F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("n"))
+    row = counts.agg(F.collect_list(F.struct("k", "n")).alias("c")).select("c.k", "c.n").first()
+    out = [0] * COUNTERS
+    for k, n in zip(row["k"] or (), row["n"] or (), strict=True):
+        out[k] = n
+    return out
+
+
+def _constant(values: list[int]) -> Column:
+    """Numbers up to 127 as a constant of a byte each."""
+    return F.lit(bytes(values))
+
+
+def _entry(constant: Column, h: Column) -> Column:
+    """A hash's number in a constant."""
+    return F.ascii(F.substring(constant, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
+
+
+def rarity(docs: DataFrame) -> Column:
+    """The classes of all counters, a byte each, as a constant."""
+    words = lines_of(docs).select(F.explode(_words(F.col("line"))).alias("w")).select(F.xxhash64("w").alias("h"))
+    return _constant([min(int(4 * math.log2(max(n, 1))), 127) for n in _by_counter(words)])
+
+
 def _tokens(line: Column, classes: Column) -> Column:
     low = F.lit((1 << HASH_BITS) - 1)
-    tokens = F.transform(_hashes(line), lambda h: F.shiftleft(F.ascii(F.substring(classes, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))
-    return F.sort_array(F.array_distinct(tokens))
+    distinct = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(_entry(classes, h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low))))
 
 
 def _least(n: Column, over: int, under: int) -> Column:
@@ -70,74 +95,98 @@ def _least(n: Column, over: int, under: int) -> Column:
     return F.floor((n * over + (under - 1)) / F.lit(under)).cast("int")
 
 
-def _similar(x: str, y: str) -> Column:
-    common = F.size(F.array_intersect(x, y))
-    return 5 * common >= 4 * (F.size(x) + F.size(y) - common)
-
-
 def _parity(tokens: Column) -> Column:
-    """64 bits, each whether an odd number of tokens falls on it: sets that differ in d tokens differ in d bits at most."""
+    """64 bits, each whether an odd number of tokens falls on it."""
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _possible(x: Column, y: Column) -> Column:
-    """Whether two lines (n, parity) can be similar: their sizes, and the bits in which they differ."""
-    n = x["n"] + y["n"]
-    return (5 * F.least(x["n"], y["n"]) >= 4 * F.greatest(x["n"], y["n"])) & (F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= n - 2 * _least(n, 4, 9))
-
-
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
-    """Of pairs (later, earlier) of places, the later places of those that are similar."""
-    places = cut(pairs.select(F.col("later").alias("at")).union(pairs.select("earlier")).distinct())
-    wanted = places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_set("at.line_no")).alias("wanted"))
-    picked = docs.join(wanted, "doc_id").select("doc_id", F.explode(F.arrays_zip("wanted", F.filter(F.split("text", "\n", -1), lambda line, i: F.array_contains("wanted", i)).alias("line"))).alias("w"))
-    lines = picked.select(F.struct("doc_id", F.col("w.wanted").alias("line_no")).alias("at"), F.col("w.line").alias("line"))
-    tokens = cut_table(lines.select("at", _tokens(F.col("line"), classes).alias("t")))
-    both = pairs.join(tokens.toDF("later", "x"), "later").join(tokens.toDF("earlier", "y"), "earlier")
-    return both.filter(_similar("x", "y")).select("later").distinct()
+def _possible(n_x: Column, parity_x: Column, n_y: Column, parity_y: Column) -> Column:
+    """Whether two sets can be similar, by their sizes and the bits in which they differ."""
+    return (5 * F.least(n_x, n_y) >= 4 * F.greatest(n_x, n_y)) & (F.bit_count(parity_x.bitwiseXOR(parity_y)) <= n_x + n_y - 2 * _least(n_x + n_y, 4, 9))
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs of places (later: doc_x, line_x, earlier: doc_y, line_y), the later places (doc_id,
+    line_no) of those whose words are similar.
+
+    Both joins read one exchange of lines: those of the documents that fall on a slot with one of the
+    pairs' documents, which leaves most out as long as few are concerned, whatever the table's size.
+    """
+    ids = pairs.select(F.col("doc_x").alias("d")).union(pairs.select("doc_y"))
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(2), c), F.lit(SLOTS)).cast("int")
+    found = ids.select(slot("d").alias("s")).distinct().agg(F.collect_list("s").alias("s")).first()["s"]  # a list of SLOTS at most
+    marks = bytearray(SLOTS // 7)
+    for k in found:
+        marks[k // 7] |= 1 << k % 7
+    byte = F.ascii(F.substring(F.lit(bytes(marks)), F.floor(slot("doc_id") / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    lines = lines_of(docs.filter(F.call_function("shiftright", byte, F.pmod(slot("doc_id"), F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1))
+    both = pairs.hint("merge").join(lines.toDF("doc_x", "line_x", "x"), ["doc_x", "line_x"])
+    both = both.hint("merge").join(lines.toDF("doc_y", "line_y", "y"), ["doc_y", "line_y"])
+    x, y = (F.array_distinct(_words(F.col(c))) for c in "xy")
+    sets = both.select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no"), x.alias("x"), y.alias("y"))
+    sets = sets.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return sets.filter(5 * F.col("common") >= 4 * (F.size("x") + F.size("y") - F.col("common"))).select("doc_id", "line_no").distinct()
+
+
+def _families(sets: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Lines that are similar to the earliest line of a family (step 4), or None without families."""
+    keys = sets.select("at", "n", "parity", F.explode("prefix").alias("key"))
+    marks = [int(n > FAMILY) for n in _by_counter(keys.select(F.col("key").alias("h")))]
+    if not any(marks):
+        return None
+    hot = keys.filter(_entry(_constant(marks), F.col("key")) == 1)
+    hubs = hot.groupBy("key").agg(F.min(F.struct("at", "n", "parity")).alias("hub"), F.count("*").alias("m")).filter(F.col("m") > FAMILY)
+    met = hot.join(hubs, "key").filter((F.col("hub.at") < F.col("at")) & _possible(F.col("n"), F.col("parity"), F.col("hub.n"), F.col("hub.parity")))
+    pairs = cut(met.select(F.col("at.doc_id").alias("doc_x"), F.col("at.line_no").alias("line_x"), F.col("hub.at.doc_id").alias("doc_y"), F.col("hub.at.line_no").alias("line_y")).distinct())
+    found = None if pairs.isEmpty() else cut(_confirm(pairs, docs))
+    drop(pairs)
+    return found
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc_id, line_no), and those of them that go."""
     docs = docs.select("doc_id", "text")
     known = docs.filter(F.col("doc_id").isNotNull())
-    classes = rarity(known)
-    tokens = lines_of(known).select("doc_id", "line_no", _tokens(F.col("line"), classes).alias("t")).withColumn("n", F.size("t"))
-    prefix = F.when(F.col("n") > 3, F.slice("t", 1, F.col("n") - _least(F.col("n"), 4, 5) + 1))  # up to 3: only equal sets are similar
-    lines = cut_table(tokens.select(F.struct("doc_id", "line_no").alias("at"), "n", F.xxhash64("t").alias("set_1"), F.xxhash64(F.lit(1), "t").alias("set_2"), _parity(F.col("t")).alias("parity"), prefix.alias("prefix")))
-
-    firsts = lines.groupBy("set_1", "set_2").agg(F.min("at").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    repeated = cut(lines.select("at", "set_1", "set_2").join(firsts, ["set_1", "set_2"]).filter("at <> first").select("at").distinct())
-
-    # Families: the earliest line that shares one of the three rarest tokens.
-    known_as = F.struct("at", "n", "parity")
-    near = lines.filter("n > 3").select(known_as.alias("line"), F.explode(F.slice("prefix", 1, 3)).alias("token"))
-    hubs = near.groupBy("token").agg(F.min("line").alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    by_hub = near.join(hubs, "token").filter((F.col("hub.at") < F.col("line.at")) & _possible(F.col("line"), F.col("hub")))
-    by_hub = by_hub.select(F.col("line.at").alias("later"), F.col("hub.at").alias("earlier")).join(repeated.toDF("later"), "later", "left_anti").distinct()
-    matched = cut(_confirm(cut(by_hub), known, classes))
-
-    # Prefix join on short rows: a line is a 64-bit id, its place and parity follow for candidates.
-    gone = repeated.withColumn("state", F.lit(2)).union(matched.select(F.col("later").alias("at"), F.lit(1)))
-    single = cut_table(lines.filter("n > 3").join(gone, "at", "left").filter("state is null or state = 1").select("at", F.xxhash64("at").alias("id"), "n", "parity", "prefix", F.col("state").isNull().alias("open")))
-    rows = single.select("id", "n", "open", F.posexplode("prefix").alias("pos", "token"))
-    smaller = rows.filter(F.col("pos") <= F.col("n") - _least(F.col("n"), 8, 9)).toDF("id_y", "n_y", "open_y", "pos_y", "token")
-    larger = rows.toDF("id_x", "n_x", "open_x", "pos_x", "token_x")
-    pairs = smaller.join(
-        larger,
-        (F.col("token") == F.col("token_x"))
-        & (F.col("n_y") <= F.col("n_x"))
-        & (5 * F.col("n_y") >= 4 * F.col("n_x"))
-        & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= _least(F.col("n_x") + F.col("n_y"), 4, 9))
-        & ((F.col("n_y") < F.col("n_x")) | (F.col("id_y") < F.col("id_x")))
-        & (F.col("open_x") | F.col("open_y")),
-    ).select("id_x", "id_y")
-    side = single.select("id", F.struct("at", "n", "parity", "open").alias("line"))
-    pairs = pairs.join(side.toDF("id_x", "x"), "id_x").join(side.toDF("id_y", "y"), "id_y").filter(_possible(F.col("x"), F.col("y")))
-    later, earlier = (F.when((F.col("x.at") > F.col("y.at")) == up, F.col("x")).otherwise(F.col("y")) for up in (True, False))
-    pairs = pairs.select(later.alias("later"), earlier.alias("earlier")).filter("later.open and later.at <> earlier.at").select("later.at", "earlier.at").toDF("later", "earlier").distinct()
-    removed = repeated.union(matched).union(_confirm(cut(pairs), known, classes))
-    return lines.select("at.doc_id", "at.line_no"), removed.select("at.doc_id", "at.line_no").distinct()
+    tokens = lines_of(known).select("doc_id", "line_no", _tokens(F.col("line"), rarity(known)).alias("t")).withColumn("n", F.size("t"))
+    prefix = F.transform(F.slice("t", 1, F.col("n") - _least(F.col("n"), 4, 5) + 1), lambda t: t.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    lines = cut(tokens.select(F.struct("doc_id", "line_no").alias("at"), "n", F.xxhash64("t").alias("set_1"), F.xxhash64(F.lit(1), "t").alias("set_2"), _parity(F.col("t")).alias("parity"), prefix.alias("prefix")))
+    places = lines.select("at.doc_id", "at.line_no")
+
+    firsts = lines.groupBy("set_1", "set_2").agg(F.min(F.struct("at", "n", "parity", "prefix")).alias("first"), F.count("*").alias("copies"))
+    sets = cut(firsts.select("set_1", "set_2", "first.*", "copies"))
+    copied = sets.filter("copies > 1").select("set_1", "set_2", F.col("at").alias("first"))
+    repeated = cut(lines.select("at", "set_1", "set_2").join(copied, ["set_1", "set_2"]).filter("at <> first").select("at.doc_id", "at.line_no").distinct())
+
+    similar = sets.filter("n > 3").select("at.doc_id", "at.line_no", "n", "parity", "prefix")  # up to 3: only equal sets are similar
+    matched = _families(sets.filter("n > 3"), known)
+    if matched is None:
+        rows = similar.withColumn("open", F.lit(True))
+    else:
+        rows = similar.join(matched.withColumn("open", F.lit(False)), ["doc_id", "line_no"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    rows = rows.select("doc_id", "line_no", "n", "parity", "open", F.posexplode("prefix").alias("pos", "key"))
+    # One exchange for both sides: what concerns one side alone stands in conditions on both, or it would be pushed below it.
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    earlier = (y("doc_id") < x("doc_id")) | ((y("doc_id") == x("doc_id")) & (y("line_no") < x("line_no")))
+    other = (y("doc_id") != x("doc_id")) | (y("line_no") != x("line_no"))
+    enough = _least(x("n") + y("n"), 4, 9)
+    met = rows.alias("x").join(
+        rows.alias("y"),
+        (x("key") == y("key"))
+        & F.when(x("n") == y("n"), earlier).otherwise(y("n") < x("n"))
+        & other
+        & _possible(x("n"), x("parity"), y("n"), y("parity"))
+        & (F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1 >= enough)
+        & F.when(earlier, x("open")).otherwise(y("open")),
+    )
+    sides = [earlier.alias("down"), *(s(c).alias(f"{c}_{k}") for k, s in (("x", x), ("y", y)) for c in ("doc_id", "line_no"))]
+    counted = met.groupBy(*sides, (enough - _least(x("n"), 4, 5) + 1).alias("need")).agg(F.count("*").alias("shared")).filter("shared >= need")
+    swap = lambda c, k, other: F.when(F.col("down"), F.col(f"{c}_{k}")).otherwise(F.col(f"{c}_{other}"))
+    pairs = cut(counted.select(*(swap(c, k, other).alias(f"{n}_{k}") for k, other in ("xy", "yx") for c, n in (("doc_id", "doc"), ("line_no", "line")))))
+    drop(sets)
+    removed = repeated.union(cut(_confirm(pairs, known)))
+    if matched is not None:
+        removed = removed.union(matched)
+    return places, removed.distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -58,3 +58,29 @@ def test_edge_rows(spark):
     assert sorted(str(r.text) for r in D.dedup(df).collect()) == ["None", "a b", "a b\nc", "a b\nc", "d e"]
     lines, gone = D.removed_lines(df.limit(0))
     assert lines.count() == gone.count() == 0
+
+
+def test_families(spark, monkeypatch):
+    """Many lines that share rare tokens, similar to the earliest one or not."""
+    rng = random.Random(4)
+    base = [f"r{i}" for i in range(12)]
+    rows = []
+    for d in range(150):
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            line[rng.randrange(12)] = f"x{rng.randrange(40)}"
+        rows.append((d, " ".join(line) + "\n" + " ".join(rng.sample(base, 4))))
+    monkeypatch.setattr(D, "FAMILY", 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in D.removed_lines(df)[1].collect()} == brute(rows)[1]
+
+
+def test_long_lines_and_odd_spaces(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    other = words[:19_000] + [f"y{i}" for i in range(1_000)]
+    less = words[:15_000] + [f"z{i}" for i in range(5_000)]
+    rows = [(1, " ".join(words)), (2, "\t".join(other)), (3, "  ".join(less)), (4, " a\tb \x0bc d"), (5, "d  c b\ra "), (6, " \t \r")]
+    lines, gone = D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in lines.collect()} == {(k, 0) for k in range(1, 6)}
+    assert {tuple(r) for r in gone.collect()} == {(2, 0), (5, 0)} == brute(rows)[1]
