@@ -37,8 +37,9 @@ NEIGHBOURS = 10
 HIDDEN = 128
 #: Share of the sample's true neighbours that the probed partitions must hold.
 AIM = 0.975
-#: Rows of a block, and queries that meet it at once.
-BLOCK, QUERIES_AT_ONCE = 4096, 256
+#: Rows of a block, and queries of a group: every block of a partition meets every group of its
+#: queries, so what is exchanged is least when both are of one size. Queries that are scored at once.
+BLOCK, GROUP, AT_ONCE = 4096, 4096, 256
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -217,7 +218,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
 
     asked = rows.filter(is_query).mapInArrow(route(probes), routed).select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part"))
     asked = cut(asked)
-    per_part = asked.groupBy("part").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("groups"))
+    per_part = asked.groupBy("part").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     grouped = asked.join(F.broadcast(per_part), "part").withColumn("group", F.pmod(F.xxhash64("query_id", F.lit(2)), F.col("groups")))
     grouped = grouped.groupBy("part", "group").agg(F.collect_list(F.struct("query_id", "v")).alias("asked"))
     both = held.join(grouped, "part").repartition(F.xxhash64("part", "block", "group")).select("held", "asked")
@@ -226,10 +227,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
         for batch in batches:
             for r in range(batch.num_rows):
                 own, other = batch.column(1)[r].values, batch.column(0)[r].values
-                qid, ids = own.field("query_id").to_numpy(), other.field("vec_id").to_numpy()
-                found = list(nearest(_matrix(own.field("v")), ids, _matrix(other.field("v")), qid, k))
-                columns = [np.repeat(qid, [len(d) for _, _, d in found]), np.concatenate([i for _, i, _ in found]), np.concatenate([d for _, _, d in found])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+                qids, ids, x = own.field("query_id").to_numpy(), other.field("vec_id").to_numpy(), _matrix(other.field("v"))
+                q = _matrix(own.field("v"))
+                for at in range(0, len(q), AT_ONCE):
+                    qid = qids[at : at + AT_ONCE]
+                    found = list(nearest(q[at : at + AT_ONCE], ids, x, qid, k))
+                    columns = [np.repeat(qid, [len(d) for _, _, d in found]), np.concatenate([i for _, i, _ in found]), np.concatenate([d for _, _, d in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     scored = both.mapInArrow(score, f"query_id {kind}, vec_id {kind}, score double")
