@@ -4,7 +4,7 @@ A line is the set of its words. Of two lines whose sets have a Jaccard similarit
 the later one goes (by document id, then line number; judged on the input, so a line goes if any
 earlier line is that similar, whether that one stays or not). Lines without a word stay.
 
-1.  Rarity: every word of the corpus is counted in one of 2**18 hashed counters. A token is a
+1.  Rarity: every word of the corpus is counted in one of 2**16 hashed counters. A token is a
     62-bit number, its counter's class (quarters of a power of two) above 55 bits of its hash: the
     natural order of tokens is by rarity. The counters' classes, a byte each, are the only thing
     that tasks get whole, as a constant of fixed size.
@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, drop, fresh, table, text_or_empty
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 16
 HASH_BITS, KEY_BITS = 55, 40
 #: Lines with one prefix token from which they are a family (step 4).
 FAMILY = 256
-#: Slots of the constant that tells which documents have lines to be confirmed: seven to a byte, 128 KB.
-SLOTS = 7 << 17
+#: Slots of the constant that tells which documents have lines to be confirmed: seven to a byte, 32 KB.
+SLOTS = 7 << 15
 SPACE = r"[\x20\x09-\x0D]+"
 
 
