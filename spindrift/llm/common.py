@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -72,6 +73,13 @@ def drop(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df._cut_path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that have ended: its cleaner waits until the driver's
+    collector has seen that nothing refers to them, which may be long after the disk is needed."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def kept_tables() -> int:
     """A mark for :func:`release`."""
     return len(_kept)

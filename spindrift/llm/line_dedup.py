@@ -9,20 +9,22 @@ earlier line is that similar, whether that one stays or not). Lines without a wo
     natural order of tokens is by rarity. The counters' classes, a byte each, are the only thing
     that tasks get whole, as a constant of fixed size.
 2.  Equal sets: the earliest of each stays and stands for all. Copies meet pre-aggregated.
-3.  Prefix filter: of n tokens, the n - ceil(4n/5) + 1 rarest. Two similar sets share one of them,
-    and mostly more: all but ceil(4n/5) - 1 of their common tokens are among them, n being the
-    larger size. So lines meet by token, under the length filter and the positional filter (common
-    tokens before this one, this one, and what is left behind it must suffice), and pairs need as
-    many common prefix tokens as follows from their sizes. Sets that differ in d tokens differ in d
-    bits at most of a 64-bit parity of their tokens, so most unlike lines part right where they meet.
-4.  Tokens in the prefixes of very many lines: such families of similar lines don't meet pair by
-    pair. Each of their lines is first held against the earliest line with that token; only lines
-    that find no match there are the later side in step 3.
-5.  The pairs that are left are confirmed on their words. The lines are exchanged once for it.
+3.  Prefix filter on pairs of tokens that are neighbours in that order. With a tokens of its own and b
+    of the other's, a set of n keeps all such pairs but 2a + b, and 5a + 4b <= n if the two are similar:
+    so of the first 2n/5 + 1 pairs one at least is among the other's first ones, and mostly more. Lines
+    meet by such a pair, a key of 32 bits, under the length filter, and need as many common keys as
+    follows from their sizes. Sets that differ in d tokens differ in d bits at most of a 64-bit parity
+    of their tokens, so most unlike lines part right where they meet. Two rare words stand together in
+    few unlike lines, so these meetings grow about as the lines do, where those by one word grew with
+    the square of its frequency.
+4.  Keys of very many lines: such families of similar lines don't meet pair by pair. Each of their lines
+    is first held against the earliest line with that key; only lines that find no match there are the
+    later side in step 3.
+5.  The pairs that are left are confirmed on their words. The lines concerned are exchanged once for it.
 
 Defined results
     null or empty text      no lines with a word, nothing removed
-    very long lines         one row's array; prefixes are a fifth of it
+    very long lines         one row's array; keys are two fifths of it
     null ids                order before all others; such rows aren't changed
     repeated rows           equal (id, line) places are one place: their lines don't remove each other
     empty table             an empty result
@@ -32,24 +34,29 @@ Defined results
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, drop, fresh, table, text_or_empty
+from .common import WORD, cut, drop, fresh, release_shuffles, table, text_or_empty
 
 COUNTERS = 1 << 16
-HASH_BITS, KEY_BITS = 55, 40
-#: Lines with one prefix token from which they are a family (step 4).
+HASH_BITS = 55
+#: Lines with one key from which they are a family (step 4).
 FAMILY = 256
-#: Slots of the constant that tells which documents have lines to be confirmed: seven to a byte, 32 KB.
-SLOTS = 7 << 15
+#: Parts in which the keys are exchanged, one after the other, so that not all are on disk at once.
+PASSES = 2
+#: The most rows of 32,768 bits that tell which lines are to be confirmed: 16 MB.
+MARKS = 4096
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _words(line: Column) -> Column:
     """The words of a line that has some. Splitting at single spaces is fast; other lines are cleaned first."""
-    odd = line.rlike("[\\t\\x0B-\\r]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
     return F.split(F.when(odd, F.btrim(F.regexp_replace(line, SPACE, " "), F.lit(" "))).otherwise(line), " ")
 
 
@@ -79,8 +86,12 @@ def _entry(constant: Column, h: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The classes of all counters, a byte each, as a constant."""
-    words = lines_of(docs).select(F.explode(_words(F.col("line"))).alias("w")).select(F.xxhash64("w").alias("h"))
+    """The classes of all counters, a byte each, as a constant.
+
+    Words are taken at single spaces here; where other white space stands, that only shifts the order.
+    """
+    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.xxhash64("w").alias("h"))
     return _constant([min(int(4 * math.log2(max(n, 1))), 127) for n in _by_counter(words)])
 
 
@@ -105,33 +116,57 @@ def _possible(n_x: Column, parity_x: Column, n_y: Column, parity_y: Column) -> C
     return (5 * F.least(n_x, n_y) >= 4 * F.greatest(n_x, n_y)) & (F.bit_count(parity_x.bitwiseXOR(parity_y)) <= n_x + n_y - 2 * _least(n_x + n_y, 4, 9))
 
 
+def _keys(t: Column, n: Column) -> Column:
+    """The first pairs of adjacent tokens, 32 bits each: one more than similar sets can differ in."""
+    most = (2 * F.floor(n / F.lit(5)) + F.when(n % 5 == 4, 2).otherwise(1)).cast("int")
+    return F.zip_with(F.slice(t, F.lit(1), most), F.slice(t, F.lit(2), most), lambda a, b: F.hash(a, b))
+
+
+def _shared(n_x: Column, n_y: Column) -> Column:
+    """How many of their first pairs two similar sets of these sizes share at least."""
+    apart = F.floor((n_x + n_y) / F.lit(9))
+    left = lambda n, d: 2 * F.floor(n / F.lit(5)) + F.when(n % 5 == 4, 2).otherwise(1) - F.floor((3 * apart + d) / F.lit(2))
+    return F.greatest(F.lit(1), F.least(left(n_x, n_x - n_y), left(n_y, n_y - n_x))).cast("int")
+
+
+def _marked(lines: DataFrame, places: DataFrame, count: int) -> DataFrame:
+    """Those of ``lines`` that fall on a bit with one of ``places`` (doc_id, line_no): all of these, and few
+    others as long as there are bits enough. The bits are a broadcast of 4 KB rows, MARKS of them at most."""
+    rows = max(1, min(MARKS, -(-16 * count // 32768)))
+    h = F.xxhash64(F.lit(2), "doc_id", "line_no")
+    row, bit = F.pmod(F.shiftright(h, 15), F.lit(rows)).cast("int"), F.pmod(h, F.lit(32768))
+    bits = places.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return lines.withColumn("row", row).join(F.broadcast(bits), "row").filter(one).select(lines.columns)
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs of places (later: doc_x, line_x, earlier: doc_y, line_y), the later places (doc_id,
-    line_no) of those whose words are similar.
-
-    Both joins read one exchange of lines: those of the documents that fall on a slot with one of the
-    pairs' documents, which leaves most out as long as few are concerned, whatever the table's size.
+    line_no) of those whose words are similar. Both joins read one exchange of the lines concerned.
     """
-    ids = pairs.select(F.col("doc_x").alias("d")).union(pairs.select("doc_y"))
-    slot = lambda c: F.pmod(F.xxhash64(F.lit(2), c), F.lit(SLOTS)).cast("int")
-    found = ids.select(slot("d").alias("s")).distinct().agg(F.collect_list("s").alias("s")).first()["s"]  # a list of SLOTS at most
-    marks = bytearray(SLOTS // 7)
-    for k in found:
-        marks[k // 7] |= 1 << k % 7
-    byte = F.ascii(F.substring(F.lit(bytes(marks)), F.floor(slot("doc_id") / 7).cast("int") + 1, F.lit(1)).cast("string"))
-    lines = lines_of(docs.filter(F.call_function("shiftright", byte, F.pmod(slot("doc_id"), F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1))
+    places = pairs.select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no")).union(pairs.select("doc_y", "line_y"))
+    lines = _marked(lines_of(docs), places, 2 * pairs.count())
     both = pairs.hint("merge").join(lines.toDF("doc_x", "line_x", "x"), ["doc_x", "line_x"])
     both = both.hint("merge").join(lines.toDF("doc_y", "line_y", "y"), ["doc_y", "line_y"])
     x, y = (F.array_distinct(_words(F.col(c))) for c in "xy")
-    sets = both.select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no"), x.alias("x"), y.alias("y"))
-    sets = sets.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return sets.filter(5 * F.col("common") >= 4 * (F.size("x") + F.size("y") - F.col("common"))).select("doc_id", "line_no").distinct()
+    # Bound in lambdas: a filter on columns would evaluate their expressions anew wherever it names them.
+    sizes = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda s: F.struct((F.size(s["x"]) + F.size(s["y"])).alias("both"), F.size(F.array_intersect(s["x"], s["y"])).alias("common")))
+    similar = F.exists(sizes, lambda s: 5 * s["common"] >= 4 * (s["both"] - s["common"]))
+    return both.filter(similar).select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no")).distinct()
 
 
 def _families(sets: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Lines that are similar to the earliest line of a family (step 4), or None without families."""
+    """Lines that are similar to the earliest line of a family (step 4), or None without families.
+
+    A counter is looked at if it is a family above the mean, or above what chance puts on counters of
+    that mean: so few are, however many keys there are. A family that isn't seen meets pair by pair.
+    """
     keys = sets.select("at", "n", "parity", F.explode("prefix").alias("key"))
-    marks = [int(n > FAMILY) for n in _by_counter(keys.select(F.col("key").alias("h")))]
+    counts = _by_counter(keys.select(F.col("key").alias("h")))
+    mean = sum(counts) / COUNTERS
+    least = mean + max(FAMILY, 6 * math.sqrt(mean))
+    marks = [int(n > least) for n in counts]
     if not any(marks):
         return None
     hot = keys.filter(_entry(_constant(marks), F.col("key")) == 1)
@@ -143,49 +178,62 @@ def _families(sets: DataFrame, docs: DataFrame) -> DataFrame | None:
     return found
 
 
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Candidates (later: doc_x, line_x, earlier: doc_y, line_y) of ``rows``: doc_id, code (sign: not open;
+    line number; size), parity, prefix. The keys are exchanged in PASSES parts, one after the other."""
+    rows = rows.select("doc_id", "code", "parity", F.explode("prefix").alias("key"))
+    c = lambda side, name: F.col(f"{side}.{name}")
+    n = lambda side: c(side, "code").bitwiseAND(F.lit(2**31 - 1))
+    line = lambda side: F.shiftright(c(side, "code"), 32).bitwiseAND(F.lit(2**31 - 1))
+    earlier = (c("y", "doc_id") < c("x", "doc_id")) | ((c("y", "doc_id") == c("x", "doc_id")) & (line("y") < line("x")))
+    # One exchange for both sides: what concerns one side alone stands in conditions on both, or it would be pushed below it.
+    wanted = F.when(earlier, c("x", "code") >= 0).otherwise(F.lit(False))
+    parts = []
+    for k in range(PASSES):
+        part = rows.filter(F.pmod("key", F.lit(PASSES)) == k)
+        met = part.alias("x").join(part.alias("y"), (c("x", "key") == c("y", "key")) & _possible(n("x"), c("x", "parity"), n("y"), c("y", "parity")) & wanted)
+        sides = [e.alias(f"{name}_{s}") for s in "xy" for name, e in (("doc", c(s, "doc_id")), ("line", line(s).cast("int")))]
+        parts.append(cut(met.groupBy(*sides, _shared(n("x"), n("y")).alias("need")).agg(F.count("*").alias("shared"))))
+        release_shuffles(rows.sparkSession)
+    names = [f"{name}_{s}" for s in "xy" for name in ("doc", "line")]
+    pairs = cut(reduce(DataFrame.union, parts).groupBy(*names, "need").agg(F.sum("shared").alias("shared")).filter("shared >= need").select(names))
+    drop(*parts)
+    return pairs
+
+
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc_id, line_no), and those of them that go."""
     docs = docs.select("doc_id", "text")
     known = docs.filter(F.col("doc_id").isNotNull())
     tokens = lines_of(known).select("doc_id", "line_no", _tokens(F.col("line"), rarity(known)).alias("t")).withColumn("n", F.size("t"))
-    prefix = F.transform(F.slice("t", 1, F.col("n") - _least(F.col("n"), 4, 5) + 1), lambda t: t.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    prefix = F.when(F.col("n") > 3, _keys(F.col("t"), F.col("n")))  # up to 3: only equal sets are similar
     lines = cut(tokens.select(F.struct("doc_id", "line_no").alias("at"), "n", F.xxhash64("t").alias("set_1"), F.xxhash64(F.lit(1), "t").alias("set_2"), _parity(F.col("t")).alias("parity"), prefix.alias("prefix")))
-    places = lines.select("at.doc_id", "at.line_no")
 
     firsts = lines.groupBy("set_1", "set_2").agg(F.min(F.struct("at", "n", "parity", "prefix")).alias("first"), F.count("*").alias("copies"))
     sets = cut(firsts.select("set_1", "set_2", "first.*", "copies"))
+    release_shuffles(docs.sparkSession)
     copied = sets.filter("copies > 1").select("set_1", "set_2", F.col("at").alias("first"))
     repeated = cut(lines.select("at", "set_1", "set_2").join(copied, ["set_1", "set_2"]).filter("at <> first").select("at.doc_id", "at.line_no").distinct())
-
-    similar = sets.filter("n > 3").select("at.doc_id", "at.line_no", "n", "parity", "prefix")  # up to 3: only equal sets are similar
-    matched = _families(sets.filter("n > 3"), known)
-    if matched is None:
-        rows = similar.withColumn("open", F.lit(True))
-    else:
-        rows = similar.join(matched.withColumn("open", F.lit(False)), ["doc_id", "line_no"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
-    rows = rows.select("doc_id", "line_no", "n", "parity", "open", F.posexplode("prefix").alias("pos", "key"))
-    # One exchange for both sides: what concerns one side alone stands in conditions on both, or it would be pushed below it.
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    earlier = (y("doc_id") < x("doc_id")) | ((y("doc_id") == x("doc_id")) & (y("line_no") < x("line_no")))
-    other = (y("doc_id") != x("doc_id")) | (y("line_no") != x("line_no"))
-    enough = _least(x("n") + y("n"), 4, 9)
-    met = rows.alias("x").join(
-        rows.alias("y"),
-        (x("key") == y("key"))
-        & F.when(x("n") == y("n"), earlier).otherwise(y("n") < x("n"))
-        & other
-        & _possible(x("n"), x("parity"), y("n"), y("parity"))
-        & (F.least(x("pos"), y("pos")) + 1 + F.least(x("n") - x("pos"), y("n") - y("pos")) - 1 >= enough)
-        & F.when(earlier, x("open")).otherwise(y("open")),
-    )
-    sides = [earlier.alias("down"), *(s(c).alias(f"{c}_{k}") for k, s in (("x", x), ("y", y)) for c in ("doc_id", "line_no"))]
-    counted = met.groupBy(*sides, (enough - _least(x("n"), 4, 5) + 1).alias("need")).agg(F.count("*").alias("shared")).filter("shared >= need")
-    swap = lambda c, k, other: F.when(F.col("down"), F.col(f"{c}_{k}")).otherwise(F.col(f"{c}_{other}"))
-    pairs = cut(counted.select(*(swap(c, k, other).alias(f"{n}_{k}") for k, other in ("xy", "yx") for c, n in (("doc_id", "doc"), ("line_no", "line")))))
-    drop(sets)
+    places = cut(lines.select("at.doc_id", "at.line_no"))
+    drop(lines)
+
+    similar = sets.filter("n > 3")
+    matched = _families(similar, known)
+    release_shuffles(docs.sparkSession)
+    code = F.shiftleft(F.col("at.line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    rows = similar.select("at.doc_id", F.col("at.line_no").alias("line_no"), code.alias("code"), "parity", "prefix")
+    if matched is not None:
+        closed = F.when(F.col("closed"), F.lit(-(2**63))).otherwise(F.lit(0).cast("long"))
+        rows = rows.join(matched.withColumn("closed", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("code", F.col("code").bitwiseOR(closed))
+        rows = cut(rows.select("doc_id", "code", "parity", "prefix"))
+        drop(sets)
+        release_shuffles(docs.sparkSession)
+    pairs = _pairs(rows)
+    drop(sets if matched is None else rows)
     removed = repeated.union(cut(_confirm(pairs, known)))
     if matched is not None:
         removed = removed.union(matched)
+    release_shuffles(docs.sparkSession)
     return places, removed.distinct()
 
 

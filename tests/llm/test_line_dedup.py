@@ -84,3 +84,33 @@ def test_long_lines_and_odd_spaces(spark):
     lines, gone = D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {tuple(r) for r in lines.collect()} == {(k, 0) for k in range(1, 6)}
     assert {tuple(r) for r in gone.collect()} == {(2, 0), (5, 0)} == brute(rows)[1]
+
+
+def test_many_keys_are_no_family(spark, monkeypatch):
+    """Counters that are full because there are many keys, none of them frequent, mark nothing."""
+    rng = random.Random(5)
+    rows = [(d, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for d in range(1000)]
+    lists, constant = [], D._constant
+    monkeypatch.setattr(D, "COUNTERS", 32)
+    monkeypatch.setattr(D, "_constant", lambda values: lists.append(values) or constant(values))
+    assert D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1].count() == 0
+    assert len(lists) == 1 or not any(lists[1])
+
+
+def test_just_similar_and_just_not(spark):
+    """Pairs of lines that differ in as much as is allowed, and in one word more."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(600):
+        n, more = rng.randint(4, 90), k % 2
+        own = rng.randint(0, n // 5)
+        other = (n - 5 * own) // 4 + more
+        words = [f"{k}_{i}" if rng.random() < 0.8 else f"often{i}" for i in range(n)]
+        later = words[own:] + [f"{k}y{i}" for i in range(other)]
+        rng.shuffle(later)
+        pair = [words, later] if rng.random() < 0.5 else [later, words]
+        rows += [(2 * k + i, " ".join(line)) for i, line in enumerate(pair)]
+        if not more:
+            want.add((2 * k + 1, 0))
+    assert brute(rows)[1] >= want
+    assert {tuple(r) for r in D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()} == brute(rows)[1]
