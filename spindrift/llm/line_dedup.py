@@ -20,7 +20,10 @@ earlier line is that similar, whether that one stays or not). Lines without a wo
 4.  Keys of very many lines: such families of similar lines don't meet pair by pair. Each of their lines
     is first held against the earliest line with that key; only lines that find no match there are the
     later side in step 3.
-5.  The pairs that are left are confirmed on their words. The lines concerned are exchanged once for it.
+5.  A line goes if one earlier line is similar, so of each line's meetings only the one that differs in the
+    fewest parity bits is kept, and confirmed on the words. Lines that are unlike it but met others meet
+    all once more, and these pairs are confirmed, if they share the keys they need. So what is exchanged
+    doesn't grow with the pairs of a group of similar lines. Only lines concerned are exchanged for it.
 
 Defined results
     null or empty text      no lines with a word, nothing removed
@@ -129,11 +132,11 @@ def _shared(n_x: Column, n_y: Column) -> Column:
     return F.greatest(F.lit(1), F.least(left(n_x, n_x - n_y), left(n_y, n_y - n_x))).cast("int")
 
 
-def _marked(lines: DataFrame, places: DataFrame, count: int) -> DataFrame:
-    """Those of ``lines`` that fall on a bit with one of ``places`` (doc_id, line_no): all of these, and few
+def _marked(lines: DataFrame, places: DataFrame, count: int, by: tuple[str, ...] = ("doc_id", "line_no")) -> DataFrame:
+    """Those of ``lines`` that fall on a bit with one of ``places``, by these columns: all of these, and few
     others as long as there are bits enough. The bits are a broadcast of 4 KB rows, MARKS of them at most."""
     rows = max(1, min(MARKS, -(-16 * count // 32768)))
-    h = F.xxhash64(F.lit(2), "doc_id", "line_no")
+    h = F.xxhash64(F.lit(2), *by)
     row, bit = F.pmod(F.shiftright(h, 15), F.lit(rows)).cast("int"), F.pmod(h, F.lit(32768))
     bits = places.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -178,29 +181,80 @@ def _families(sets: DataFrame, docs: DataFrame) -> DataFrame | None:
     return found
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Candidates (later: doc_x, line_x, earlier: doc_y, line_y) of ``rows``: doc_id, code (sign: not open;
-    line number; size), parity, prefix. The keys are exchanged in PASSES parts, one after the other."""
-    rows = rows.select("doc_id", "code", "parity", F.explode("prefix").alias("key"))
+def _line(code: Column) -> Column:
+    return F.shiftright(code, 32).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+
+
+def _met(xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """Rows (doc_id, code, parity, key) of xs that are open and those of ys that are earlier and can be similar
+    to them, by common keys, as places (doc_x, line_x, doc_y, line_y) with the keys that they need to share and
+    the bits in which they differ."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    n = lambda side: c(side, "code").bitwiseAND(F.lit(2**31 - 1))
-    line = lambda side: F.shiftright(c(side, "code"), 32).bitwiseAND(F.lit(2**31 - 1))
-    earlier = (c("y", "doc_id") < c("x", "doc_id")) | ((c("y", "doc_id") == c("x", "doc_id")) & (line("y") < line("x")))
+    n_x, n_y = (c(side, "code").bitwiseAND(F.lit(2**31 - 1)) for side in "xy")
+    line_x, line_y = (_line(c(side, "code")) for side in "xy")
+    earlier = (c("y", "doc_id") < c("x", "doc_id")) | ((c("y", "doc_id") == c("x", "doc_id")) & (line_y < line_x))
     # One exchange for both sides: what concerns one side alone stands in conditions on both, or it would be pushed below it.
     wanted = F.when(earlier, c("x", "code") >= 0).otherwise(F.lit(False))
+    met = xs.alias("x").join(ys.alias("y"), (c("x", "key") == c("y", "key")) & _possible(n_x, c("x", "parity"), n_y, c("y", "parity")) & wanted)
+    apart = F.bit_count(c("x", "parity").bitwiseXOR(c("y", "parity")))
+    sides = [e.alias(f"{name}_{s}") for s, line in (("x", line_x), ("y", line_y)) for name, e in (("doc", c(s, "doc_id")), ("line", line))]
+    return met.select(*sides, _shared(n_x, n_y).alias("need"), apart.alias("apart"))
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    """For each open line that meets an earlier one that can be similar: the one that differs in the fewest
+    bits, and whether there are others. Lines that share fewer keys with all earlier ones together than with
+    a similar one are none of these. A row for each line and task is all that is exchanged, however many
+    lines meet. The keys are exchanged in PASSES parts, one after the other."""
+    rows = rows.select("doc_id", "code", "parity", F.explode("prefix").alias("key"))
+    nearest = [F.min_by(c, "far").alias(c) for c in ("doc_y", "line_y")]
+    lowest = [F.min(c).alias(c) for c in ("far", "need", "doc_low", "line_low")] + [F.max(c).alias(c) for c in ("doc_high", "line_high")]
+    least = lambda found: found.groupBy("doc_x", "line_x").agg(*nearest, *lowest, F.sum("shared").alias("shared"))
+    far = F.shiftleft(F.col("apart").cast("long"), 32).bitwiseOR(F.hash("doc_y", "line_y").bitwiseAND(F.lit(2**31 - 1)))
+    ends = {f"{name}_{end}": F.col(f"{name}_y") for name in ("doc", "line") for end in ("low", "high")}
     parts = []
     for k in range(PASSES):
         part = rows.filter(F.pmod("key", F.lit(PASSES)) == k)
-        met = part.alias("x").join(part.alias("y"), (c("x", "key") == c("y", "key")) & _possible(n("x"), c("x", "parity"), n("y"), c("y", "parity")) & wanted)
-        sides = [e.alias(f"{name}_{s}") for s in "xy" for name, e in (("doc", c(s, "doc_id")), ("line", line(s).cast("int")))]
-        parts.append(cut(met.groupBy(*sides, _shared(n("x"), n("y")).alias("need")).agg(F.count("*").alias("shared"))))
+        parts.append(cut(least(_met(part, part).withColumns({"far": far, "shared": F.lit(1)} | ends))))
         release_shuffles(rows.sparkSession)
-    names = [f"{name}_{s}" for s in "xy" for name in ("doc", "line")]
-    pairs = cut(reduce(DataFrame.union, parts).groupBy(*names, "need").agg(F.sum("shared").alias("shared")).filter("shared >= need").select(names))
+    several = (F.col("doc_low") != F.col("doc_high")) | (F.col("line_low") != F.col("line_high"))
+    found = least(reduce(DataFrame.union, parts)).filter("shared >= need")
+    pairs = cut(found.select("doc_x", "line_x", "doc_y", "line_y", several.alias("several")))
     drop(*parts)
     return pairs
 
 
+def _pairs(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """All candidates of the lines ``left`` (doc_id, line_no). Of the other lines' keys only those on a bit
+    with one of theirs are exchanged."""
+    rows = rows.select("doc_id", _line(F.col("code")).alias("line_no"), "code", "parity", "prefix")
+    mine = _marked(rows, left, left.count()).hint("merge").join(left, ["doc_id", "line_no"])
+    names = ["doc_id", "code", "parity", "key"]
+    mine = cut(mine.withColumn("key", F.explode("prefix")).select(names))
+    others = _marked(rows.withColumn("key", F.explode("prefix")).select(names), mine, mine.count(), ("key",))
+    names = [f"{name}_{s}" for s in "xy" for name in ("doc", "line")]
+    met = _met(mine, others).groupBy(*names, "need").agg(F.count("*").alias("shared"))
+    pairs = cut(met.filter("shared >= need").select(names))
+    drop(mine)
+    return pairs
+
+
+def _similar(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Places (doc_id, line_no) of open ``rows``: doc_id, code (sign: not open; line number; size), parity,
+    prefix, that are similar to an earlier one. Most are similar to the nearest; those that aren't and met others meet all once more."""
+    nearest = _nearest(rows)
+    found = cut(_confirm(nearest.drop("several"), docs))
+    left = cut(nearest.filter("several").select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no")).join(found, ["doc_id", "line_no"], "left_anti"))
+    drop(nearest)
+    release_shuffles(rows.sparkSession)
+    if not left.isEmpty():
+        pairs = _pairs(rows, left)
+        found = found.union(cut(_confirm(pairs, docs)))
+        drop(pairs)
+    drop(left)
+    return found
+
+
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc_id, line_no), and those of them that go."""
     docs = docs.select("doc_id", "text")
@@ -228,9 +282,8 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = cut(rows.select("doc_id", "code", "parity", "prefix"))
         drop(sets)
         release_shuffles(docs.sparkSession)
-    pairs = _pairs(rows)
+    removed = repeated.union(_similar(rows, known))
     drop(sets if matched is None else rows)
-    removed = repeated.union(cut(_confirm(pairs, known)))
     if matched is not None:
         removed = removed.union(matched)
     release_shuffles(docs.sparkSession)

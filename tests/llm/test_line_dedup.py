@@ -114,3 +114,24 @@ def test_just_similar_and_just_not(spark):
             want.add((2 * k + 1, 0))
     assert brute(rows)[1] >= want
     assert {tuple(r) for r in D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1].collect()} == brute(rows)[1]
+
+
+def test_tables_grow_with_lines_not_pairs(spark, monkeypatch):
+    """A group of lines that are all similar to each other, too small for a family."""
+    base = [f"r{i}" for i in range(20)]
+    rows = [(d, " ".join([*base[:-1], f"x{d}"])) for d in range(120)]
+    sizes, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    gone = D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1]
+    assert {tuple(r) for r in gone.collect()} == {(d, 0) for d in range(1, 120)}
+    assert max(sizes) <= 4 * len(rows)
+
+
+def test_nearest_is_not_the_similar_one(spark, monkeypatch):
+    """Without parity any meeting is as near as another: lines go by others than the first that is tried."""
+    rows, calls, pairs = corpus(2)[:60], [], D._pairs
+    monkeypatch.setattr(D, "_parity", lambda tokens: D.F.lit(0).cast("long"))
+    monkeypatch.setattr(D, "_pairs", lambda *args: calls.append(args) or pairs(*args))
+    gone = D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1]
+    assert {tuple(r) for r in gone.collect()} == brute(rows)[1]
+    assert calls
