@@ -68,9 +68,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return exploded.filter(F.col("line").rlike(WORD))
 
 
+def _counter(h: Column) -> Column:
+    """The counter of a hash: its low bits, never null, so that arrays made with it are sorted as plain numbers."""
+    return h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+
+
 def _by_counter(hashes: DataFrame) -> list[int]:
     """How many of a column h fall on each counter, as one row of bounded size."""
-    counts = hashes.groupBy(F.pmod("h", F.lit(COUNTERS)).alias("k")).agg(F.count("*").alias("n"))
+    counts = hashes.groupBy(_counter(F.col("h")).alias("k")).agg(F.count("*").alias("n"))
     row = counts.agg(F.collect_list(F.struct("k", "n")).alias("c")).select("c.k", "c.n").first()
     out = [0] * COUNTERS
     for k, n in zip(row["k"] or (), row["n"] or (), strict=True):
@@ -85,7 +90,7 @@ def _constant(values: list[int]) -> Column:
 
 def _entry(constant: Column, h: Column) -> Column:
     """A hash's number in a constant."""
-    return F.ascii(F.substring(constant, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.ascii(F.substring(constant, _counter(h) + 1, F.lit(1)).cast("string"))
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -100,8 +105,8 @@ def rarity(docs: DataFrame) -> Column:
 
 def _tokens(line: Column, classes: Column) -> Column:
     low = F.lit((1 << HASH_BITS) - 1)
-    distinct = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(distinct, lambda h: F.shiftleft(_entry(classes, h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low))))
+    token = lambda h: F.shiftleft(_entry(classes, h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low))
+    return F.array_distinct(F.sort_array(F.transform(_words(line), lambda w: token(F.xxhash64(w)))))
 
 
 def _least(n: Column, over: int, under: int) -> Column:
