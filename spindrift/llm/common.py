@@ -51,7 +51,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, dictionary: bool = True) -> DataFrame:
     """``df`` computed once and kept as compressed Parquet in the shared checkpoint folder.
 
     It survives lost executors, and the optimizer sees the size of its files: a checkpointed
@@ -60,7 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     _kept.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path

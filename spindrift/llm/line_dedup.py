@@ -6,8 +6,8 @@ earlier line is that similar, whether that one stays or not). Lines without a wo
 
 1.  Rarity: every word of the corpus is counted in one of 2**16 hashed counters. A token is a
     62-bit number, its counter's class (quarters of a power of two) above 55 bits of its hash: the
-    natural order of tokens is by rarity. The counters' classes, a byte each, are the only thing
-    that tasks get whole, as a constant of fixed size.
+    natural order of tokens is by rarity. The counters' classes are the only thing that tasks
+    get whole, as a constant of fixed size.
 2.  Equal sets: the earliest of each stays and stands for all. Copies meet pre-aggregated.
 3.  Prefix filter on pairs of tokens that are neighbours in that order. With a tokens of its own and b
     of the other's, a set of n keeps all such pairs but 2a + b, and 5a + 4b <= n if the two are similar:
@@ -37,22 +37,30 @@ Defined results
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, drop, fresh, release_shuffles, table, text_or_empty
+from . import common
+from .common import WORD, drop, fresh, release_shuffles, table, text_or_empty
 
+#: Tables of this module hold hashes and places, for which trying dictionaries is lost time.
+cut = partial(common.cut, dictionary=False)
 COUNTERS = 1 << 16
 HASH_BITS = 55
 #: Lines with one key from which they are a family (step 4).
 FAMILY = 256
+#: Keys of a task up to which one side of their join is a table in memory (some 64 bytes each) and not sorted.
+HASHED = 1 << 19
 #: Parts in which the keys are exchanged, one after the other, so that not all are on disk at once.
 PASSES = 2
 #: The most rows of 32,768 bits that tell which lines are to be confirmed: 16 MB.
 MARKS = 4096
+#: Closed lines up to which the rows are not written anew but joined with them wherever they are read.
+CLOSED = 1 << 16
 SPACE = r"[\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
@@ -65,7 +73,14 @@ def _words(line: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     exploded = docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
-    return exploded.filter(F.col("line").rlike(WORD))
+    return exploded.filter(F.ltrim("line", F.lit(WHITE)) != "")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with spaces for other white space, which few texts have, so that single spaces part the words."""
+    other = WHITE.replace(" ", "").replace("\n", "")
+    odd = reduce(Column.__or__, [F.col("text").contains(c) for c in other])
+    return docs.withColumn("text", F.when(odd, F.translate("text", other, " " * len(other))).otherwise(F.col("text")))
 
 
 def _counter(h: Column) -> Column:
@@ -84,29 +99,33 @@ def _by_counter(hashes: DataFrame) -> list[int]:
 
 
 def _constant(values: list[int]) -> Column:
-    """Numbers up to 127 as a constant of a byte each."""
-    return F.lit(bytes(values))
+    """Numbers as a constant array, which the optimizer makes of one string."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _entry(constant: Column, h: Column) -> Column:
-    """A hash's number in a constant."""
-    return F.ascii(F.substring(constant, _counter(h) + 1, F.lit(1)).cast("string"))
+    """A hash's number in a constant, never null, as in :func:`_counter`."""
+    return F.coalesce(constant[h.bitwiseAND(F.lit(COUNTERS - 1))], F.lit(0).cast("long"))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The classes of all counters, a byte each, as a constant.
+    """The classes of all counters as a constant.
 
-    Words are taken at single spaces here; where other white space stands, that only shifts the order.
+    Words are taken at single spaces and line ends here; where other white space stands, that only shifts the order.
     """
-    lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.xxhash64("w").alias("h"))
+    words = docs.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(F.xxhash64("w").alias("h"))
     return _constant([min(int(4 * math.log2(max(n, 1))), 127) for n in _by_counter(words)])
 
 
 def _tokens(line: Column, classes: Column) -> Column:
+    """The tokens of a line of :func:`_plain` texts. What stands between two spaces is no word.
+
+    Lambdas are interpreted node by node, so hashes are bound once, and nothing that whole arrays allow stands in them.
+    """
     low = F.lit((1 << HASH_BITS) - 1)
-    token = lambda h: F.shiftleft(_entry(classes, h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low))
-    return F.array_distinct(F.sort_array(F.transform(_words(line), lambda w: token(F.xxhash64(w)))))
+    token = lambda h: F.shiftleft(_entry(classes, h), HASH_BITS).bitwiseOR(h.bitwiseAND(low))
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(F.sort_array(F.transform(hashes, token))), token(F.xxhash64(F.lit(""))))
 
 
 def _least(n: Column, over: int, under: int) -> Column:
@@ -142,11 +161,13 @@ def _marked(lines: DataFrame, places: DataFrame, count: int, by: tuple[str, ...]
     others as long as there are bits enough. The bits are a broadcast of 4 KB rows, MARKS of them at most."""
     rows = max(1, min(MARKS, -(-16 * count // 32768)))
     h = F.xxhash64(F.lit(2), *by)
-    row, bit = F.pmod(F.shiftright(h, 15), F.lit(rows)).cast("int"), F.pmod(h, F.lit(32768))
+    row, bit = F.pmod(F.shiftright(h, 15), F.lit(rows)).cast("int"), h.bitwiseAND(F.lit(32767))
     bits = places.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(bit / F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    one = F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return lines.withColumn("row", row).join(F.broadcast(bits), "row").filter(one).select(lines.columns)
+    # As numbers of 8 bytes, the first one highest: what is done for each line is then only to look one up and shift it.
+    half = lambda i, k: F.conv(F.hex(F.substring(F.col("bits"), 8 * i + k, F.lit(4))), 16, 10).cast("long")
+    bits = bits.select("row", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.shiftleft(half(i, 1), 32).bitwiseOR(half(i, 5))).alias("bits"))
+    of = F.call_function("shiftright", F.col("bits")[F.shiftright(bit, 6)], bit.bitwiseAND(F.lit(63)).bitwiseXOR(F.lit(56)).cast("int"))
+    return lines.withColumn("row", row).join(F.broadcast(bits), "row").filter(of.bitwiseAND(F.lit(1)) == 1).select(lines.columns)
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -154,7 +175,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     line_no) of those whose words are similar. Both joins read one exchange of the lines concerned.
     """
     places = pairs.select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no")).union(pairs.select("doc_y", "line_y"))
-    lines = _marked(lines_of(docs), places, 2 * pairs.count())
+    count = 2 * pairs.count()
+    lines = _marked(lines_of(_marked(docs, places, count, ("doc_id",))), places, count)
     both = pairs.hint("merge").join(lines.toDF("doc_x", "line_x", "x"), ["doc_x", "line_x"])
     both = both.hint("merge").join(lines.toDF("doc_y", "line_y", "y"), ["doc_y", "line_y"])
     x, y = (F.array_distinct(_words(F.col(c))) for c in "xy")
@@ -164,33 +186,35 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.filter(similar).select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no")).distinct()
 
 
-def _families(sets: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Lines that are similar to the earliest line of a family (step 4), or None without families.
+def _families(sets: DataFrame, docs: DataFrame) -> tuple[DataFrame | None, bool]:
+    """Lines that are similar to the earliest line of a family (step 4), or None without families; whether a
+    task's keys are few enough to meet in memory, by all keys and the counter with the most.
 
     A counter is looked at if it is a family above the mean, or above what chance puts on counters of
     that mean: so few are, however many keys there are. A family that isn't seen meets pair by pair.
     """
     keys = sets.select("at", "n", "parity", F.explode("prefix").alias("key"))
     counts = _by_counter(keys.select(F.col("key").alias("h")))
+    few = sum(counts) / PASSES / int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")) + max(counts) <= HASHED
     mean = sum(counts) / COUNTERS
     least = mean + max(FAMILY, 6 * math.sqrt(mean))
     marks = [int(n > least) for n in counts]
     if not any(marks):
-        return None
+        return None, few
     hot = keys.filter(_entry(_constant(marks), F.col("key")) == 1)
     hubs = hot.groupBy("key").agg(F.min(F.struct("at", "n", "parity")).alias("hub"), F.count("*").alias("m")).filter(F.col("m") > FAMILY)
     met = hot.join(hubs, "key").filter((F.col("hub.at") < F.col("at")) & _possible(F.col("n"), F.col("parity"), F.col("hub.n"), F.col("hub.parity")))
     pairs = cut(met.select(F.col("at.doc_id").alias("doc_x"), F.col("at.line_no").alias("line_x"), F.col("hub.at.doc_id").alias("doc_y"), F.col("hub.at.line_no").alias("line_y")).distinct())
     found = None if pairs.isEmpty() else cut(_confirm(pairs, docs))
     drop(pairs)
-    return found
+    return found, few
 
 
 def _line(code: Column) -> Column:
     return F.shiftright(code, 32).bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
-def _met(xs: DataFrame, ys: DataFrame) -> DataFrame:
+def _met(xs: DataFrame, ys: DataFrame, how: str = "merge") -> DataFrame:
     """Rows (doc_id, code, parity, key) of xs that are open and those of ys that are earlier and can be similar
     to them, by common keys, as places (doc_x, line_x, doc_y, line_y) with the keys that they need to share and
     the bits in which they differ."""
@@ -200,13 +224,13 @@ def _met(xs: DataFrame, ys: DataFrame) -> DataFrame:
     earlier = (c("y", "doc_id") < c("x", "doc_id")) | ((c("y", "doc_id") == c("x", "doc_id")) & (line_y < line_x))
     # One exchange for both sides: what concerns one side alone stands in conditions on both, or it would be pushed below it.
     wanted = F.when(earlier, c("x", "code") >= 0).otherwise(F.lit(False))
-    met = xs.alias("x").join(ys.alias("y"), (c("x", "key") == c("y", "key")) & _possible(n_x, c("x", "parity"), n_y, c("y", "parity")) & wanted)
+    met = xs.alias("x").join(ys.alias("y").hint(how), (c("x", "key") == c("y", "key")) & _possible(n_x, c("x", "parity"), n_y, c("y", "parity")) & wanted)
     apart = F.bit_count(c("x", "parity").bitwiseXOR(c("y", "parity")))
     sides = [e.alias(f"{name}_{s}") for s, line in (("x", line_x), ("y", line_y)) for name, e in (("doc", c(s, "doc_id")), ("line", line))]
     return met.select(*sides, _shared(n_x, n_y).alias("need"), apart.alias("apart"))
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
+def _nearest(rows: DataFrame, few: bool) -> DataFrame:
     """For each open line that meets an earlier one that can be similar: the one that differs in the fewest
     bits, and whether there are others. Lines that share fewer keys with all earlier ones together than with
     a similar one are none of these. A row for each line and task is all that is exchanged, however many
@@ -220,7 +244,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
     parts = []
     for k in range(PASSES):
         part = rows.filter(F.pmod("key", F.lit(PASSES)) == k)
-        parts.append(cut(least(_met(part, part).withColumns({"far": far, "shared": F.lit(1)} | ends))))
+        parts.append(cut(least(_met(part, part, "shuffle_hash" if few else "merge").withColumns({"far": far, "shared": F.lit(1)} | ends))))
         release_shuffles(rows.sparkSession)
     several = (F.col("doc_low") != F.col("doc_high")) | (F.col("line_low") != F.col("line_high"))
     found = least(reduce(DataFrame.union, parts)).filter("shared >= need")
@@ -244,10 +268,10 @@ def _pairs(rows: DataFrame, left: DataFrame) -> DataFrame:
     return pairs
 
 
-def _similar(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _similar(rows: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
     """Places (doc_id, line_no) of open ``rows``: doc_id, code (sign: not open; line number; size), parity,
     prefix, that are similar to an earlier one. Most are similar to the nearest; those that aren't and met others meet all once more."""
-    nearest = _nearest(rows)
+    nearest = _nearest(rows, few)
     found = cut(_confirm(nearest.drop("several"), docs))
     left = cut(nearest.filter("several").select(F.col("doc_x").alias("doc_id"), F.col("line_x").alias("line_no")).join(found, ["doc_id", "line_no"], "left_anti"))
     drop(nearest)
@@ -264,7 +288,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines with a word (doc_id, line_no), and those of them that go."""
     docs = docs.select("doc_id", "text")
     known = docs.filter(F.col("doc_id").isNotNull())
-    tokens = lines_of(known).select("doc_id", "line_no", _tokens(F.col("line"), rarity(known)).alias("t")).withColumn("n", F.size("t"))
+    tokens = lines_of(_plain(known)).select("doc_id", "line_no", _tokens(F.col("line"), rarity(known)).alias("t")).withColumn("n", F.size("t"))
     prefix = F.when(F.col("n") > 3, _keys(F.col("t"), F.col("n")))  # up to 3: only equal sets are similar
     lines = cut(tokens.select(F.struct("doc_id", "line_no").alias("at"), "n", F.xxhash64("t").alias("set_1"), F.xxhash64(F.lit(1), "t").alias("set_2"), _parity(F.col("t")).alias("parity"), prefix.alias("prefix")))
 
@@ -277,18 +301,23 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drop(lines)
 
     similar = sets.filter("n > 3")
-    matched = _families(similar, known)
+    matched, few_keys = _families(similar, known)
     release_shuffles(docs.sparkSession)
     code = F.shiftleft(F.col("at.line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     rows = similar.select("at.doc_id", F.col("at.line_no").alias("line_no"), code.alias("code"), "parity", "prefix")
     if matched is not None:
         closed = F.when(F.col("closed"), F.lit(-(2**63))).otherwise(F.lit(0).cast("long"))
-        rows = rows.join(matched.withColumn("closed", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("code", F.col("code").bitwiseOR(closed))
-        rows = cut(rows.select("doc_id", "code", "parity", "prefix"))
-        drop(sets)
-        release_shuffles(docs.sparkSession)
-    removed = repeated.union(_similar(rows, known))
-    drop(sets if matched is None else rows)
+        few = matched.count() <= CLOSED
+        mine = matched.withColumn("closed", F.lit(True))
+        rows = rows.join(F.broadcast(mine) if few else mine, ["doc_id", "line_no"], "left").withColumn("code", F.col("code").bitwiseOR(closed))
+        rows = rows.select("doc_id", "code", "parity", "prefix")
+        if not few:
+            sets, old = cut(rows), sets
+            rows = sets
+            drop(old)
+            release_shuffles(docs.sparkSession)
+    removed = repeated.union(_similar(rows, known, few_keys))
+    drop(sets)
     if matched is not None:
         removed = removed.union(matched)
     release_shuffles(docs.sparkSession)

@@ -135,3 +135,29 @@ def test_nearest_is_not_the_similar_one(spark, monkeypatch):
     gone = D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1]
     assert {tuple(r) for r in gone.collect()} == brute(rows)[1]
     assert calls
+
+
+def test_only_texts_concerned_are_split_again(spark, monkeypatch):
+    rows = [(d, f"a{d} b{d} c{d} d{d} e{d}\nf{d} g{d} h{d} i{d} j{d}") for d in range(300)]
+    rows[200] = (200, "x y\nf7 g7 h7 i7 j7 k7")
+    split, lines_of = [], D.lines_of
+    monkeypatch.setattr(D, "lines_of", lambda docs: split.append(docs.count()) or lines_of(docs))
+    gone = D.removed_lines(spark.createDataFrame(rows, "doc_id long, text string"))[1]
+    assert {tuple(r) for r in gone.collect()} == {(200, 1)}
+    assert split[0] == 300 and len(split) > 1 and max(split[1:]) < 30
+
+
+def test_few_closed_lines_are_not_written_anew(spark, monkeypatch):
+    """Closed lines joined where they are read or written, keys met in memory or sorted: the same lines go."""
+    rng = random.Random(7)
+    base = [f"r{i}" for i in range(20)]
+    rows = [(d, " ".join([*base[: rng.choice([12, 19, 20])], *(f"x{d}_{i}" for i in range(rng.choice([0, 1, 2, 8])))])) for d in range(120)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)[1]
+    monkeypatch.setattr(D, "FAMILY", 20)
+    kept, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: kept.append(df.columns) or cut(df))
+    assert {tuple(r) for r in D.removed_lines(df)[1].collect()} == want
+    assert sum("prefix" in c for c in kept) == 2
+    monkeypatch.setattr(D, "CLOSED", -1)
+    monkeypatch.setattr(D, "HASHED", -1)
+    assert {tuple(r) for r in D.removed_lines(df)[1].collect()} == want
